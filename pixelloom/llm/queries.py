@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import block_names
+from . import block_names, packing, simhash, warc
 from . import common as C
 
 
@@ -30,7 +30,26 @@ SELECT doc_id,
 FROM d
 """
 
+def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = C.scratch_path(spark, "warc")
+    warc.write_archives(C.read(spark, sf_dir, "pages"), path)
+    return warc.read_archives(spark, path)
+
+
+def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = simhash.classes(C.read(spark, sf_dir, "documents"))
+    return out.select(F.col("id").alias("doc_id"), F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
+def op6_best_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = packing.pack(C.read(spark, sf_dir, "documents"))
+    return out.select(F.col("id").alias("doc_id"), "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_warc": op1_warc,
+    "op2_simhash": op2_simhash,
+    "op6_best_fit": op6_best_fit,
     "op7_block_names": op7_block_names,
 }
 SQL: dict[str, str] = {"op7_block_names": OP7_SQL}
