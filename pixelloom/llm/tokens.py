@@ -15,6 +15,8 @@ import numpy as np
 
 #: Words that lower-casing and normalisation treat letter by letter: ASCII, Latin-1 letters and Latin Extended-A without U+0130 and U+0149.
 _PLAIN = re.compile(r"[!-~À-ÖØ-öø-įı-ňŊ-ſ]+")
+#: Signs that stand alone after letters, whatever the letters are.
+_SIGNS = (b".", b",", b";", b":", b"!", b"?", b"|")
 _NONE = np.int64(1 << 40)
 
 
@@ -104,11 +106,12 @@ class WordTokenizer:
 
         self.library = Tokenizer.from_file(path)
         self.kept: dict[bytes, bytes] = {}
-        self.pieces: dict[str, bytes] = {}
+        self.old: dict[bytes, bytes] = {}
+        self.pieces: dict[bytes, bytes] = {}
         self.most_kept = most_kept
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
-        self.special = [t["content"] for t in spec["added_tokens"]]
+        self.special = re.compile("|".join(re.escape(t["content"]) for t in spec["added_tokens"]) or r"(?!)").search
         self.merges = None
         steps = [s.get("type") for s in (spec["normalizer"] or {}).get("normalizers", [])]
         split = (spec["pre_tokenizer"] or {}).get("pretokenizers", [{}, {}])
@@ -120,34 +123,51 @@ class WordTokenizer:
 
     def ids(self, texts: list[str | None]) -> list[bytes]:
         words = [(t or "").encode("utf-8", "surrogatepass").split() for t in texts]
-        if len(self.kept) > self.most_kept:
-            self.kept.clear()
+        if len(self.kept) > self.most_kept:  # words of the last generation are found again without being encoded
+            self.old, self.kept = self.kept, {}
         if len(self.pieces) > self.most_kept:
-            self.pieces.clear()
+            self.pieces = {}
         new = set()
         for w in words:
             new.update(w)
-        self._learn([w for w in new if w not in self.kept])
+        self._learn(new.difference(self.kept))
         get = self.kept.__getitem__
         return [b"".join(map(get, w)) for w in words]
 
-    def _learn(self, new: list[bytes]) -> None:
-        odd, plain = [], []
+    def _learn(self, new: set[bytes]) -> None:
+        odd, single, plain, several = [], [], [], []
+        old, kept, fast = self.old, self.kept, self.merges is not None
         for raw in new:
-            w = raw.decode("utf-8", "replace")
-            if self.merges and _PLAIN.fullmatch(w) and not any(s in w for s in self.special):
-                plain.append((raw, self.parts(w.lower())))
+            known = old.get(raw)
+            if known is not None:
+                kept[raw] = known
+            elif fast and raw.isalpha():  # ASCII letters only
+                single.append(raw)
+                plain.append(raw.lower())
+            elif fast and raw[-1:] in _SIGNS and raw[:-1].isalpha():
+                several.append((raw, (raw[:-1].lower(), raw[-1:])))
             else:
-                odd.append((raw, w))
-        missing = list({p for _, parts in plain for p in parts if p not in self.pieces})
+                w = raw.decode("utf-8", "replace")
+                if not fast or not _PLAIN.fullmatch(w) or self.special(w):
+                    odd.append((raw, w))
+                elif w.isalpha():
+                    single.append(raw)
+                    plain.append(w.lower().encode())
+                else:
+                    several.append((raw, [x.encode() for x in self.parts(w.lower())]))
+        pieces = self.pieces
+        missing = set(plain).difference(pieces)
+        missing.update(p for _, parts in several for p in parts if p not in pieces)
         if missing:
-            self.pieces.update(zip(missing, self.merges.encode([p.encode() for p in missing])))
-        for raw, parts in plain:
-            self.kept[raw] = b"".join([self.pieces[p] for p in parts])
+            missing = list(missing)
+            pieces.update(zip(missing, self.merges.encode(missing)))
+        kept.update(zip(single, map(pieces.__getitem__, plain)))
+        for raw, parts in several:
+            kept[raw] = b"".join([pieces[p] for p in parts])
         for at in range(0, len(odd), 1000):
             some = odd[at : at + 1000]
             for (raw, _), e in zip(some, self.library.encode_batch([w for _, w in some], add_special_tokens=False)):
-                self.kept[raw] = np.array(e.ids, "<u4").tobytes()
+                kept[raw] = np.array(e.ids, "<u4").tobytes()
 
 
 _LOADED: dict[str, WordTokenizer] = {}
