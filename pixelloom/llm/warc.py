@@ -7,8 +7,8 @@ as a first segment and continuation records. The reader groups continuations
 by the identifier of the first segment, orders them by number, checks the
 number of segments and the total length, and takes the framing off.
 
-Scale: archives are written and read by Spark's own text source, with the gap
-between two records as line separator; so any file system works, files need
+Scale: archives are written and read by Spark's own text source, with the start
+of a record as line separator; so any file system works, files need
 not fit in memory, and a writer cuts chunks and segments such that no payload
 holds that separator. Only segments are shuffled, one payload to a group; the
 joins on digests and record identifiers carry one row per page, and AQE splits
@@ -34,8 +34,9 @@ from pyspark.sql import functions as F
 from . import common as C
 
 SEGMENT_BYTES, CHUNK_BYTES, MIN_REVISIT_BYTES = 16384, 4096, 0
+#: Starts every record, and is the line separator of the text source. Its first letter doesn't recur in it, so that a
+#: reader that has met a part of it at a buffer's end never has to look back.
 _VERSION = b"WARC/1.1\r\n"
-_GAP = b"\r\n\r\n" + _VERSION
 _HTTP = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nTransfer-Encoding: chunked\r\n\r\n"
 _DATE = "2020-01-01T00:00:00Z"
 
@@ -50,12 +51,13 @@ def record_id(page_id: int | None, copy: int | str, digest: str) -> str:
 
 
 def to_chunks(payload: bytes, chunk_bytes: int) -> bytes:
-    """Chunked transfer framing; a chunk ends inside every separator of records that the payload holds."""
+    """Chunked transfer framing; a chunk ends inside whatever could start a record, even with the framing's line end."""
     ends = {*range(chunk_bytes, len(payload), chunk_bytes), len(payload)}
-    at = payload.find(_GAP)
+    name = _VERSION.rstrip()
+    at = payload.find(name)
     while at >= 0:
-        ends.add(at + 5)
-        at = payload.find(_GAP, at + 1)
+        ends.add(at + 4)
+        at = payload.find(name, at + 1)
     out, start = [], 0
     for end in sorted(ends - {0}):
         out.append(b"%x\r\n%b\r\n" % (end - start, payload[start:end]))
@@ -79,15 +81,8 @@ def from_chunks(body: bytes) -> bytes:
 
 
 def to_segments(block: bytes, segment_bytes: int) -> list[bytes]:
-    """The block in pieces of about segment_bytes; none but the first starts like a record."""
-    out, start = [], 0
-    while start < len(block) or not out:
-        end = start + segment_bytes
-        while block.startswith(_VERSION, end):
-            end += 1
-        out.append(block[start:end])
-        start = end
-    return out
+    """The block in pieces of segment_bytes."""
+    return [block[at : at + segment_bytes] for at in range(0, max(1, len(block)), segment_bytes)]
 
 
 def _record(fields: list[tuple[str, object]], block: bytes) -> bytes:
@@ -202,19 +197,17 @@ def _parse(raw: bytes, keep_payload: bool) -> tuple | None:
 
 def _parser(keep_payload: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pending = b""
+        pending, source = None, None
         for batch in batches:
             out = []
-            for value in batch.column(0):
-                raw = value.as_py()
-                starts = raw.startswith(_VERSION)
-                raw = raw[len(_VERSION) :] if starts else raw
-                if pending and not starts:  # a payload of another writer that holds the separator
-                    raw = pending + _GAP + raw
-                elif pending:
+            for value, file in zip(*batch.columns):
+                raw, file = value.as_py(), file.as_py()
+                if pending is not None and file == source:  # a payload of another writer that holds the separator
+                    raw = pending + _VERSION + raw
+                elif pending is not None:
                     out.append(_cut_short(pending))
-                pending = b""
-                if not raw.strip():
+                pending, source = None, file
+                if not raw.strip():  # what stands before the first record
                     continue
                 row = _parse(raw, keep_payload)
                 if row is None:
@@ -225,7 +218,7 @@ def _parser(keep_payload: bool):
                     yield _to_batch(out)
                     out = []
             yield _to_batch(out)
-        if pending:
+        if pending is not None:
             yield _to_batch([_cut_short(pending)])
 
     return run
@@ -245,8 +238,9 @@ def _to_batch(rows: list[tuple]) -> pa.RecordBatch:
 
 def read_archives(spark: SparkSession, path: str, keep_payload: bool = False) -> DataFrame:
     """One row per page: page_id, payload_bytes, payload_digest, record_type, refers_to, complete (and payload, of responses)."""
-    lines = spark.read.option("lineSep", _GAP.decode()).text(path)
-    rows, _ = C.cut(lines.select(F.col("value").cast("binary").alias("value")).mapInArrow(_parser(keep_payload), _ROWS_SQL), "records")
+    lines = spark.read.option("lineSep", _VERSION.decode()).text(path)
+    raw = lines.select(F.col("value").cast("binary").alias("value"), F.xxhash64("_metadata.file_path").alias("file"))
+    rows, _ = C.cut(raw.mapInArrow(_parser(keep_payload), _ROWS_SQL), "records")
     parts = rows.where("segment is not null").groupBy("origin").agg(
         F.sort_array(F.collect_list(F.struct("segment", "total", "block"))).alias("parts"),
         F.max(F.when(F.col("segment") == 1, F.struct("page_id", "type", "digest"))).alias("head"),

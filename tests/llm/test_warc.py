@@ -18,6 +18,7 @@ PAGES = [
     (11, "u", GAP),
     (12, "u", "x" * 100_000),
     (13, "u", "x" * 100_000),
+    (15, "u", "WARC/1.1\r\n" * 2 + "WARC/1.1" + "\r\n" * 3 + "WWARC/1.1\r\n"),
     (14, "u", "\r\n" * 500 + "0\r\n\r\n"),
     (14, "u", "\r\n" * 500 + "0\r\n\r\n"),
 ]
@@ -42,6 +43,15 @@ def test_round_trip(spark, segment, chunk, least):
     assert all(base64.b32encode(hashlib.sha1(p).digest()).decode() == d for d, p in payloads.items())
 
 
+def test_separators_at_buffer_ends(spark):
+    n = 6000
+    pages = spark.range(n).selectExpr("id AS page_id", "'u' AS url", "repeat('a', cast(id % 37 as int)) || repeat('\\r\\n', cast(id % 5 as int)) || id AS html").repartition(2)
+    path = C.scratch_path(spark, "warc-many")
+    warc.write_archives(pages, path)
+    rows = warc.read_archives(spark, path)
+    assert rows.count() == n and rows.where("not complete").count() == 0
+
+
 def test_broken_archives(spark, tmp_path):
     block = warc._HTTP + warc.to_chunks(b"hello world" * 20, 16)
     parts = warc.to_segments(block, 60)
