@@ -1,7 +1,7 @@
 """Language spans of mixed texts: script ranges, then Viterbi over per-word scores.
 
 Every word gets a score for each language: the log-probability of its character
-n-grams and of the word itself among the training words of that language. Only
+n-grams among the training words of that language. Only
 languages whose training letters use the word's script at least now and then
 are candidates; a word without letters scores alike for all. A Viterbi pass
 finds the labels of all words with the best sum of scores, less a penalty for
@@ -61,13 +61,26 @@ def script(letter: str) -> str:
 
 
 def letters_of(word: str) -> str:
-    return _STRIP.sub("", word).lower()
+    return word.lower() if word.isalpha() else _STRIP.sub("", word).lower()
 
 
 def grams(word: str) -> list[str]:
-    """Character n-grams of a word with its ends marked, and the word itself."""
+    """Character n-grams of a word with its ends marked."""
     w = f"^{word}$"
-    return [w[i : i + n] for n in range(2, LONGEST_GRAM + 1) for i in range(len(w) - n + 1)] + [f"={word}"]
+    return [w[i : i + n] for n in range(2, LONGEST_GRAM + 1) for i in range(len(w) - n + 1)]
+
+
+_FACTOR = np.uint64(0x9E3779B97F4A7C15)
+
+
+def _codes(letters: np.ndarray, n: int) -> np.ndarray:
+    """A 64-bit code of the n letters from each place on."""
+    m = len(letters) - n + 1
+    out = np.full(max(m, 0), n, np.uint64)
+    for k in range(n):
+        out = (out ^ letters[k : k + m]) * _FACTOR
+        out ^= out >> np.uint64(29)
+    return out
 
 
 class Model:
@@ -76,42 +89,107 @@ class Model:
     def __init__(self, counts: dict[str, dict[str, int]], scripts: dict[str, dict[str, int]]):
         self.languages = sorted(counts)
         known = sorted({g for c in counts.values() for g in c})
-        self.index = {g: i for i, g in enumerate(known)}
+        place = {g: i for i, g in enumerate(known)}
         self.weights = np.zeros((len(known) + 1, len(self.languages)), np.float32)  # the last row is for unknown n-grams
         for k, lang in enumerate(self.languages):
             total = sum(counts[lang].values())
             base = math.log(0.5 / (total + 0.5 * (len(known) + 1)))
             self.weights[:, k] = base
             for g, n in counts[lang].items():
-                self.weights[self.index[g], k] = math.log((n + 0.5) / (total + 0.5 * (len(known) + 1)))
+                self.weights[place[g], k] = math.log((n + 0.5) / (total + 0.5 * (len(known) + 1)))
         self.weights -= self.weights.max(1, keepdims=True) if self.languages else 0
         self.weights = np.maximum(self.weights, -6.0)
+        codes = np.array([_codes(np.array(list(map(ord, g)), np.uint64), len(g))[0] for g in known], np.uint64)
+        self.keys = np.r_[codes, np.uint64(0)]
+        self.table = np.full(1 << 20, len(known), np.int32)
+        at = codes >> np.uint64(44)
+        self.table[at] = np.arange(len(known))
+        lost = np.flatnonzero(self.table[at] != np.arange(len(known)))  # codes whose place another one took
+        self.rest = {int(codes[i]): int(i) for i in lost}
+        self.crowded = np.zeros(1 << 20, bool)
+        self.crowded[at[lost]] = True
         names = sorted({s for c in scripts.values() for s in c})
         self.uses = {s: np.array([scripts.get(l, {}).get(s, 0) >= 0.001 * max(1, sum(scripts.get(l, {}).values())) for l in self.languages]) for s in names}
 
+    def _rows(self, codes: np.ndarray) -> np.ndarray:
+        at = codes >> np.uint64(44)
+        row = self.table[at]
+        miss = self.keys[row] != codes
+        row[miss] = len(self.keys) - 1
+        for i in np.flatnonzero(miss & self.crowded[at]):
+            row[i] = self.rest.get(int(codes[i]), len(self.keys) - 1)
+        return row
+
     def score(self, words: list[str]) -> np.ndarray:
         """A row of scores for each word; words hold letters only, or nothing."""
         out = np.zeros((len(words), len(self.languages)), np.float32)
-        get, unknown = self.index.get, len(self.index)
-        rows, sizes, some = [], [], []
-        for i, w in enumerate(words):
-            if w:
-                g = [get(x, unknown) for x in grams(w)]
-                rows += g
-                sizes.append(len(g))
-                some.append(i)
-        if some:
-            starts = np.r_[0, np.cumsum(sizes)[:-1]]
-            sums = np.add.reduceat(self.weights[np.array(rows)], starts, axis=0) / np.sqrt(np.array(sizes, np.float32))[:, None]
-            for k, i in enumerate(some):
-                w = words[i]
-                kind = "latin" if w.isascii() else Counter(map(script, w)).most_common(1)[0][0]
-                may = self.uses.get(kind)
-                if may is not None and may.any():
-                    out[i] = np.where(may, sums[k], -50.0)
+        some = [i for i, w in enumerate(words) if w]
+        if not some or not self.languages:
+            return out
+        row = "".join([f"^{words[i]}$" for i in some])
+        letters = np.frombuffer(row.encode("utf-32-le", "surrogatepass"), "<u4").astype(np.uint64)
+        sizes = np.array([len(words[i]) + 2 for i in some])
+        owner = np.repeat(np.arange(len(some)), sizes)
+        room = np.repeat(np.cumsum(sizes), sizes) - np.arange(len(letters))  # letters to the word's end
+        sums, n_grams = np.zeros((len(some), len(self.languages)), np.float32), np.zeros(len(some))
+        for n in range(2, LONGEST_GRAM + 1):
+            inside = np.flatnonzero(room >= n)
+            if not len(inside):
+                continue
+            rows, whose = self._rows(_codes(letters, n)[inside]), owner[inside]
+            starts = np.flatnonzero(np.r_[True, whose[1:] != whose[:-1]])
+            sums[whose[starts]] += np.add.reduceat(self.weights[rows], starts, axis=0)
+            n_grams += np.bincount(whose, minlength=len(some))
+        out[some] = sums / np.sqrt(n_grams)[:, None]
+        for i in some:
+            w = words[i]
+            if not w.isascii():
+                kind = Counter(map(script, w)).most_common(1)[0][0]
+                if kind == "latin":
+                    continue
+            elif "latin" in self.uses and self.uses["latin"].all():
+                continue
+            else:
+                kind = "latin"
+            may = self.uses.get(kind)
+            out[i] = np.where(may, out[i], -50.0) if may is not None and may.any() else 0.0
         return out
 
 
+class WordScores:
+    """Letters and scores of words, kept by number from one batch to the next."""
+
+    def __init__(self, model: Model, most_kept: int = 300_000):
+        self.model, self.most_kept = model, most_kept
+        self._reset()
+
+    def _reset(self) -> None:
+        self.number: dict[str, int] = {}
+        self.letters = np.zeros(1024, np.int64)
+        self.scores = np.zeros((1024, len(self.model.languages)), np.float32)
+
+    def of(self, words: list[list[str]]) -> list[np.ndarray]:
+        """The number of each word of each text."""
+        if len(self.number) > self.most_kept:
+            self._reset()
+        new = set()
+        for w in words:
+            new.update(w)
+        new = list(new.difference(self.number))
+        at, end = len(self.number), len(self.number) + len(new)
+        if end > len(self.letters):
+            size = max(end, 2 * len(self.letters))
+            self.letters, self.scores = np.resize(self.letters, size), np.resize(self.scores, (size, self.scores.shape[1]))
+        plain = [letters_of(w) for w in new]
+        kinds = list(dict.fromkeys(plain))
+        place = {w: i for i, w in enumerate(kinds)}
+        self.scores[at:end] = self.model.score(kinds)[[place[w] for w in plain]] if new else 0
+        self.letters[at:end] = list(map(len, plain))
+        self.number.update(zip(new, range(at, end)))
+        get = self.number.__getitem__
+        return [np.fromiter(map(get, w), np.int64, len(w)) for w in words]
+
+
 def viterbi(scores: list[np.ndarray], switch: float) -> list[np.ndarray]:
     """The best labels of each text: scores[d] has a row for each word and a column for each language."""
     sizes = [len(s) for s in scores]
@@ -147,19 +225,14 @@ def viterbi(scores: list[np.ndarray], switch: float) -> list[np.ndarray]:
     return out
 
 
-def label(texts: list[str | None], model: Model, switch: float = SWITCH, cache: dict | None = None, most_kept: int = 200_000) -> list[tuple[str, float, list[tuple[int, int, str]]]]:
+def label(texts: list[str | None], model: Model, switch: float = SWITCH, known: WordScores | None = None) -> list[tuple[str, float, list[tuple[int, int, str]]]]:
     """Of each text: language, score, and spans (first word, end, language)."""
-    cache = {} if cache is None else cache
-    if len(cache) > most_kept:
-        cache.clear()
+    known = known or WordScores(model)
     words = [(t or "").split() for t in texts]
-    new = list({w for ws in words for w in ws if w not in cache})
-    plain = [letters_of(w) for w in new]
-    for w, p, s in zip(new, plain, model.score(plain)):
-        cache[w] = (len(p), s)
-    letters = [np.array([cache[w][0] for w in ws], np.int64) for ws in words]
+    numbers = known.of(words)
+    letters = [known.letters[n] for n in numbers]
+    scores = [known.scores[n] for n in numbers]
     k = len(model.languages)
-    scores = [np.array([cache[w][1] for w in ws], np.float32).reshape(len(ws), k) for ws in words]
     labels: list[np.ndarray] = [np.zeros(0, np.int8)] * len(texts)
     todo = sorted(range(len(texts)), key=lambda d: -len(words[d])) if k else []
     while todo:
@@ -217,11 +290,11 @@ def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache: dict = {}
+        known = WordScores(sent.value)
         for batch in batches:
             for at in range(0, batch.num_rows, 512):
                 ids, texts = (c for c in batch.slice(at, 512).columns)
-                out = label(texts.to_pylist(), sent.value, switch, cache)
+                out = label(texts.to_pylist(), sent.value, switch, known)
                 spans = [[{"start": a, "end": b, "lang": l} for a, b, l in o[2]] for o in out]
                 yield pa.RecordBatch.from_arrays([ids, pa.array([o[0] for o in out], pa.string()), pa.array([o[1] for o in out], pa.float64()), pa.array(spans, pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("lang", pa.string())])))], names=["id", "lang_pred", "score", "spans"])
 

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-TOXIC_DOCS, CLEAN_DOCS, TOP_FEATURES = 2000, 4000, 2000
+TOXIC_DOCS, CLEAN_DOCS, TOP_FEATURES = 2000, 4000, 1000
 _SENTENCE = re.compile(r"[^.!?\n]+[.!?]*")
 _WORD = re.compile(r"[^\s.!?]+")
 _STRIP = re.compile(r"[\W\d_]+")
@@ -102,8 +102,12 @@ def fit(bags: list[tuple[int, list[list[int]]]], names: list[str], steps: int =
     return Model({n: float(w) for n, w in zip(names, x) if abs(w) > 0.02}, float(x[-1]))
 
 
-def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", toxic_docs: int = TOXIC_DOCS, clean_docs: int = CLEAN_DOCS, top_features: int = TOP_FEATURES) -> Model:
-    """A model from labelled texts; docs and labels hold what may be learned from."""
+def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", toxic_docs: int = TOXIC_DOCS, clean_docs: int = CLEAN_DOCS, top_features: int = TOP_FEATURES, least_share: float = 0.01, least_lift: float = 2.0) -> Model:
+    """A model from labelled texts; docs and labels hold what may be learned from.
+
+    A feature is used if least_share of the toxic texts hold it and they do so
+    exp(least_lift) times as often as the others.
+    """
     own = labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("label")).where("id is not null and label is not null").groupBy("id").agg(F.max("label").alias("label"))
     picked = [own.where(F.col("label") == y).orderBy(F.xxhash64("id"), "id").limit(n) for y, n in ((1, toxic_docs), (0, clean_docs))]
     chosen = picked[0].unionByName(picked[1])
@@ -122,7 +126,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
         return Model({}, 0.0)
     by = sample.mapInArrow(tally, "feature string, label int, n long").groupBy("feature").agg(F.sum(F.when(F.col("label") == 1, F.col("n")).otherwise(0)).alias("bad"), F.sum(F.when(F.col("label") == 0, F.col("n")).otherwise(0)).alias("good"))
     lift = F.log((F.col("bad") + 0.5) / (size[1] + 1)) - F.log((F.col("good") + 0.5) / (size[0] + 1))
-    names = [r["feature"] for r in by.where("bad >= 4").withColumn("lift", lift).where("lift > 1").orderBy(F.desc(F.col("bad") * F.col("lift")), "feature").limit(top_features).collect()]
+    names = [r["feature"] for r in by.where(F.col("bad") >= max(3, size[1] * least_share)).withColumn("lift", lift).where(F.col("lift") > least_lift).orderBy(F.desc(F.col("bad") * F.col("lift")), "feature").limit(top_features).collect()]
     index = {n: i for i, n in enumerate(names)}
 
     def bags(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
