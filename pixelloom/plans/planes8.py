@@ -401,7 +401,7 @@ _MAXR = "sqrt(32.0)"
 
 def spectrum(spark: SparkSession, sf_dir: str) -> DataFrame:
     f = P.dft(P.pixels(unit(spark, sf_dir)), N, ["img_id"]).withColumnRenamed("v", "fv")
-    return f.withColumn("p", F.expr(_P)).withColumn("r", F.expr(_RAD)).withColumn("R", F.expr(_MAXR))
+    return f.withColumn("p", F.expr(_P)).withColumn("r", F.expr(_RAD)).withColumn("r_max", F.expr(_MAXR))
 
 
 _SPEC = f"{_UN}, {_PX('un')}, {_dft_sql('px', 'ft', N, 'img_id')}, sp AS (SELECT *, {_P} AS p, {_RAD} AS r, {_MAXR} AS R_ FROM ft)"
@@ -411,7 +411,7 @@ _band = lambda lo, hi, R_="R_": f"sum(CASE WHEN r >= {lo} * {R_} AND r < {hi} *
 @query("dft_radial_bands", f"""WITH {_SPEC} SELECT img_id, {_r(_band(0, 0.2) + ' / (sum(p) + 1e-10)', 'low')}, {_r(_band(0.2, 0.6) + ' / (sum(p) + 1e-10)', 'mid')}, {_r(_band(0.6, 9) + ' / (sum(p) + 1e-10)', 'high')},
 {_r('sum(p * (abs(CASE WHEN u >= 4 THEN u - 8 ELSE u END) + abs(CASE WHEN fv >= 4 THEN fv - 8 ELSE fv END)) / 8.0) / (2 * sum(p) + 1e-10)', 'power_centroid')} FROM sp GROUP BY img_id""")
 def dft_radial_bands(spark, sf_dir):
-    b = lambda lo, hi: F.expr(_band(lo, hi, "R"))
+    b = lambda lo, hi: F.expr(_band(lo, hi, "r_max"))
     total = F.sum("p") + 1e-10
     cent = F.expr("sum(p * (abs(CASE WHEN u >= 4 THEN u - 8 ELSE u END) + abs(CASE WHEN fv >= 4 THEN fv - 8 ELSE fv END)) / 8.0D) / (2 * sum(p) + 1e-10D)")
     return spectrum(spark, sf_dir).groupBy("img_id").agg(R(b(0, 0.2) / total).alias("low"), R(b(0.2, 0.6) / total).alias("mid"), R(b(0.6, 9) / total).alias("high"), R(cent).alias("power_centroid"))
@@ -425,7 +425,7 @@ _WANT = [0.65, 0.20, 0.10, 0.035, 0.015]
 q AS (SELECT img_id, {', '.join(f'e{k} / (e0 + e1 + e2 + e3 + e4 + 1e-10) AS q{k}' for k in range(5))} FROM b)
 SELECT img_id, {_r('q2', 'midband_energy_ratio')}, {_r('q2 - 0.1', 'midband_deviation')}, {_r('sqrt(list_var_pop([' + ', '.join(f'q{k} - {w}' for k, w in enumerate(_WANT)) + ']))', 'spectral_slope_deviation')}, {_r('q4 / (q2 + 1e-10)', 'high_to_mid_ratio')} FROM q""")
 def dft_midband(spark, sf_dir):
-    b = spectrum(spark, sf_dir).groupBy("img_id").agg(*[F.expr(_band(lo, hi, "R")).alias(f"e{k}") for k, (lo, hi) in enumerate(_EDGES)])
+    b = spectrum(spark, sf_dir).groupBy("img_id").agg(*[F.expr(_band(lo, hi, "r_max")).alias(f"e{k}") for k, (lo, hi) in enumerate(_EDGES)])
     total = sum((F.col(f"e{k}") for k in range(5)), F.lit(0.0)) + 1e-10
     q = b.select("img_id", *[(F.col(f"e{k}") / total).alias(f"q{k}") for k in range(5)])
     dev = [F.col(f"q{k}") - w for k, w in enumerate(_WANT)]

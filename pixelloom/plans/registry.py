@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from . import decisions, planes8, relational
+from . import decisions, learning, planes8, relational
 
-_MODULES = (planes8, decisions, relational)
+_MODULES = (planes8, decisions, relational, learning)
 QUERIES = {name: q for m in _MODULES for name, q in m.QUERIES.items()}
 SQL = {name: q for m in _MODULES for name, q in m.SQL.items()}

@@ -29,7 +29,7 @@ def _t(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-@query("union_sources", """SELECT source, label, count(*) AS n, sum(length(text)) AS chars FROM (SELECT text, 'documents' AS source, CAST(1 AS INTEGER) AS label FROM documents
+@query("union_sources", """SELECT source, label, count(*) AS n, CAST(sum(length(text)) AS BIGINT) AS chars FROM (SELECT text, 'documents' AS source, CAST(1 AS INTEGER) AS label FROM documents
 UNION ALL SELECT text, 'benchmark', 0 FROM benchmark UNION ALL SELECT text, 'conversations', 0 FROM conversations) GROUP BY source, label""")
 def union_sources(spark, sf_dir):
     parts = [(_t(spark, sf_dir, n).select("text"), n, k) for n, k in (("documents", 1), ("benchmark", 0), ("conversations", 0))]
@@ -102,14 +102,14 @@ def config_keys(spark, sf_dir):
     return c.groupBy("key").agg(F.count(F.lit(1)).alias("n_rows"), F.countDistinct("model").alias("n_models"), F.min("model").alias("owner"))
 
 
-@query("labelled_join", """SELECT lang, quality, count(*) AS n, sum(n_chars) AS chars FROM documents JOIN labels USING (doc_id) GROUP BY lang, quality""")
+@query("labelled_join", """SELECT lang, quality, count(*) AS n, CAST(sum(n_chars) AS BIGINT) AS chars FROM documents JOIN labels USING (doc_id) GROUP BY lang, quality""")
 def labelled_join(spark, sf_dir):
     return _t(spark, sf_dir, "documents").select("doc_id", "lang", "n_chars").join(_t(spark, sf_dir, "labels").select("doc_id", "quality"), "doc_id").groupBy("lang", "quality").agg(F.count(F.lit(1)).alias("n"), F.sum("n_chars").alias("chars"))
 
 
 @query("document_bytes", """WITH b AS (SELECT doc_id, unnest(string_split(text, '')) AS c FROM documents), h AS (SELECT doc_id, unicode(c) % 256 AS v, count(*) AS n FROM b WHERE c <> '' GROUP BY ALL),
 t AS (SELECT *, n + 1e-10 AS k, sum(n) OVER (PARTITION BY doc_id) + 256e-10 AS s FROM h)
-SELECT doc_id, sum(n) AS n, round(-sum(k / s * log2(k / s)) - (256 - count(*)) * (1e-10 / any_value(s)) * log2(1e-10 / any_value(s)), 6) + 0.0 AS entropy, round(sum(n * v) / sum(n), 6) + 0.0 AS mean FROM t GROUP BY doc_id""")
+SELECT doc_id, CAST(sum(n) AS BIGINT) AS n, round(-sum(k / s * log2(k / s)) - (256 - count(*)) * (1e-10 / any_value(s)) * log2(1e-10 / any_value(s)), 6) + 0.0 AS entropy, round(sum(n * v) / sum(n), 6) + 0.0 AS mean FROM t GROUP BY doc_id""")
 def document_bytes(spark, sf_dir):
     """Whole texts as one-row planes of code points modulo 256: size, entropy and mean."""
     c = _t(spark, sf_dir, "documents").select("doc_id", F.explode(F.split("text", "")).alias("c")).where("c <> ''")
@@ -129,10 +129,10 @@ def event_moments(spark, sf_dir):
     return q.groupBy("event_type").agg(R(m["mean"]).alias("mean"), R(m["std"]).alias("std"), R(m["skew"]).alias("skew"), R(m["kurt"]).alias("kurt"), R(p(0.95)).alias("p95"), R(p(0.75) - p(0.25)).alias("iqr"), R(m["std"] / (F.abs(m["mean"]) + 1e-10)).alias("cv"))
 
 
-@query("price_tiles", """WITH t AS (SELECT l_orderkey % 1000 AS ty, l_linenumber AS tx, CAST(l_extendedprice AS DOUBLE) AS v FROM lineitem) SELECT CAST(ty AS BIGINT) AS ty, count(*) AS n, round(avg(v), 4) + 0.0 AS mean, round(var_pop(v) / 1e6, 4) + 0.0 AS var, round(max(v), 4) + 0.0 AS top FROM t GROUP BY ty""")
+@query("price_tiles", """WITH t AS (SELECT l_orderkey % 1000 AS ty, l_linenumber AS tx, CAST(l_extendedprice AS DOUBLE) AS v FROM lineitem) SELECT CAST(ty AS BIGINT) AS ty, count(*) AS n, round(avg(v), 6) + 0.0 AS mean, round(var_pop(v) / 1e6, 6) + 0.0 AS var, round(max(v), 4) + 0.0 AS top FROM t GROUP BY ty""")
 def price_tiles(spark, sf_dir):
     t = _t(spark, sf_dir, "lineitem").select((F.col("l_orderkey") % 1000).cast("long").alias("ty"), F.col("l_extendedprice").cast("double").alias("v"))
-    return t.groupBy("ty").agg(F.count(F.lit(1)).alias("n"), R(F.avg("v"), 4).alias("mean"), R(F.var_pop("v") / 1e6, 4).alias("var"), R(F.max("v"), 4).alias("top"))
+    return t.groupBy("ty").agg(F.count(F.lit(1)).alias("n"), R(F.avg("v")).alias("mean"), R(F.var_pop("v") / 1e6).alias("var"), R(F.max("v"), 4).alias("top"))
 
 
 @query("path_ends", """WITH e AS (SELECT user_id, event_id, CAST(value AS DOUBLE) AS v FROM events), p AS (SELECT user_id, arg_min(v, event_id) AS a, arg_max(v, event_id) AS b, count(*) AS n FROM e GROUP BY user_id),
@@ -151,7 +151,7 @@ def path_ends(spark, sf_dir):
 t AS (SELECT user_id, abs(a - lag(a) OVER (PARTITION BY user_id ORDER BY event_id)) AS t FROM d) SELECT user_id, count(t) AS n, round(avg(least(t, 2 * pi() - t)), 6) + 0.0 AS curvature FROM t GROUP BY user_id""")
 def turning_angles(spark, sf_dir):
     w = Window.partitionBy("user_id").orderBy("event_id")
-    e = _t(spark, sf_dir, "events").select("user_id", "event_id", (F.unix_micros("ts") / 60000000.0).alias("x"), F.col("value").cast("double").alias("v"))
+    e = _t(spark, sf_dir, "events").select("user_id", "event_id", (F.expr("timestampdiff(MICROSECOND, TIMESTAMP_NTZ'1970-01-01 00:00:00', ts)") / 60000000.0).alias("x"), F.col("value").cast("double").alias("v"))
     d = e.select("user_id", "event_id", F.atan2(F.col("v") - F.lag("v").over(w), F.col("x") - F.lag("x").over(w)).alias("a"))
     t = d.select("user_id", F.abs(F.col("a") - F.lag("a").over(w)).alias("t"))
     return t.groupBy("user_id").agg(F.count("t").alias("n"), R(F.avg(F.least(F.col("t"), 2 * F.pi() - F.col("t")))).alias("curvature"))
