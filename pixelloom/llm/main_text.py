@@ -89,7 +89,7 @@ def tokens(page: str) -> Iterator[tuple[str, str, tuple[frozenset[str], ...]]]:
 
 
 def count(page: str) -> tuple[Counter, Counter] | None:
-    """Counts by name of words, and by tag of tags, inside and outside the content of a page that labels itself, else None."""
+    """Counts by name of words, and by tag of tags, in and out of the content of a page that labels itself, else None."""
     inside = {t: len(re.findall(rf"<{t}\b", page, re.I)) for t in ("article", "main")}
     label = next((t for t in ("article", "main") if inside[t] == 1), None)
     if not label:
@@ -103,8 +103,10 @@ def count(page: str) -> tuple[Counter, Counter] | None:
         elif kind != "text":
             tags[value, within] += 1
         elif n := len(value.split()):
-            for name in frozenset().union(*around):
-                words[name, within] += n
+            names = frozenset().union(*around)
+            other = names.intersection(OTHER) if within else frozenset()  # adverts and forms within an article aren't the article
+            for name in other or names:
+                words[name, within and not other] += n
     return (words, tags) if seen else None
 
 
@@ -122,38 +124,45 @@ class Scores:
         total = {w: sum(v for (_, x), v in tags.items() if x == w) + 100 for w in (True, False)}
         for tag in {t for t, _ in tags}:
             odds = math.log((tags.get((tag, True), 0) + 1) / total[True] * total[False] / (tags.get((tag, False), 0) + 1))
-            self.tags[tag] = -0.3 / (1 + math.exp(max(-30, min(30, odds)))) - 0.02
+            self.tags[tag] = -0.09 / (1 + math.exp(max(-30, min(30, odds)))) - 0.01
 
-    def word(self, around: tuple[frozenset[str], ...]) -> float:
-        """The score of a word: that of the worst element around it if one is bad, else above zero."""
+    def word(self, around: tuple[frozenset[str], ...]) -> float | None:
+        """The score of a word by the elements around it: below zero if one is bad, above if one is good, None if no name tells."""
         worst, best = 0.0, 0.0
         for names in around:
             odds = [self.names.get(n, 0.0) for n in names]
             if odds:
                 worst, best = min(worst, *odds), max(best, *odds)
-        return max(worst, -0.5) if worst < -1 else 0.2 + min(best, 4.0)
+        if worst < -1:
+            return max(worst, -4.0) / 80
+        return 0.2 + min(best, 4.0) if best > 1 else None
 
     def tag(self, tag: str) -> float:
-        return self.tags.get(tag, -0.17)
+        return self.tags.get(tag, -0.055)
+
+
+#: Scores of words that no name tells anything about, on pages without and with words that one does.
+_NEUTRAL = (0.2, -0.3)
+
+
+def scored(page: str | None, scores: Scores) -> list[tuple[str, str, float]]:
+    """(kind, value, score) of each token."""
+    row = list(tokens(page or ""))
+    known = {a: scores.word(a) for a in {a for k, _, a in row if k == "text"}}
+    neutral = _NEUTRAL[any(k == "text" and (known[a] or 0) > 0 and not v.isspace() for k, v, a in row)]
+    known = {a: neutral if s is None else s for a, s in known.items()}
+    return [(k, v, known[a] * len(v.split()) if k == "text" else scores.tag(v)) if k != "text" or known[a] > 0 else ("out", v, known[a] * len(v.split())) for k, v, a in row]
 
 
 def extract(page: str | None, scores: Scores) -> str:
     """The main text: its blocks in page order, joined by one space."""
     best, best_span, total, start = 0.0, (0, 0), 0.0, 0
     row: list[tuple[str, str]] = []  # text that may be content, or a block's edge
-    known: dict[tuple[frozenset[str], ...], float] = {}
-    for kind, value, around in tokens(page or ""):
+    for kind, value, gain in scored(page, scores):
         if kind == "text":
-            score = known.get(around)
-            if score is None:
-                score = known[around] = scores.word(around)
-            gain = score * len(value.split())
-            if score > 0:
-                row.append(("text", value))
-        else:
-            gain = scores.tag(value)
-            if value not in _INLINE:
-                row.append(("edge", ""))
+            row.append(("text", value))
+        elif kind != "out" and value not in _INLINE:
+            row.append(("edge", ""))
         total += gain
         if total > best:
             best, best_span = total, (start, len(row))
