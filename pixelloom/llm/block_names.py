@@ -115,5 +115,6 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", row_c
     """
     ids = identities(docs, id_col, text_col, row_col, **options)
     best = F.min(F.struct((-F.col("chars")).alias("less"), F.col("id").isNull().alias("no_id"), "id", "row")).alias("best")
-    groups = ids.groupBy("rounds", "name").agg(best, F.count(F.lit(1)).alias("group_size"))
+    # A table of its own, so that the join can split a group that holds much of all rows.
+    groups, _ = C.cut(ids.groupBy("rounds", "name").agg(best, F.count(F.lit(1)).alias("group_size")), "groups")
     return ids.join(groups, ["rounds", "name"]).select("row", "id", F.col("best.row").alias("keep_row"), F.col("best.id").alias("keep_id"), "group_size", (F.col("row") == F.col("best.row")).alias("kept"), "sha")

@@ -260,7 +260,7 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     rows = docs.select(F.col(id_col).cast("string").alias("id"), F.col(lang_col).cast("string").alias("lang"), F.col(text_col).alias("text")).where("lang is not null and text is not null")
     place = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("id"), "id"))
     chosen = rows.select("id", "lang").withColumn("n", place).where(F.col("n") <= sample_docs).select("id", "lang").distinct()
-    sample = rows.join(chosen, ["id", "lang"], "left_semi")
+    sample = rows.join(F.broadcast(chosen), ["id", "lang"], "left_semi")  # sample_docs ids a language
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -9,7 +9,7 @@ their own, so that a page of an unseen template is read as well. Inside the
 run, elements whose words score below zero (menus, adverts, forms, comments)
 are left out.
 
-Scale: scores come from a bounded sample of pages (sample_pages) and are a few
+Scale: scores come from a bounded sample of pages (2 * sample_pages) and are a few
 hundred numbers; extraction is one pass without a shuffle, a page at a time.
 
 Cases: null and empty html and pages without a positive word give empty text;
@@ -179,9 +179,13 @@ def extract(page: str | None, scores: Scores) -> str:
 
 
 def learn(pages: DataFrame, id_col: str = "page_id", html_col: str = "html", sample_pages: int = SAMPLE_PAGES) -> Scores:
-    """Scores from the pages of a sample of at most sample_pages, taken by a hash of the id, that label themselves."""
-    key = F.xxhash64(F.coalesce(F.col(id_col).cast("string"), F.lit("")))
-    sample = pages.where(F.col(html_col).isNotNull()).orderBy(key).limit(sample_pages).select(F.col(html_col).alias("html"))
+    """Scores from the pages of a sample of about sample_pages, and twice as many at most, taken by a hash of the id, that label themselves."""
+    total = pages.count()
+    rows = pages.where(F.col(html_col).isNotNull())
+    if total > sample_pages:  # a share of the hash range, so that no page moves to be chosen; the limit only matters if ids repeat
+        key = F.pmod(F.xxhash64(F.coalesce(F.col(id_col).cast("string"), F.lit(""))), F.lit(1 << 40))
+        rows = rows.where(key < int((1 << 40) * sample_pages / total)).limit(2 * sample_pages)
+    sample = rows.select(F.col(html_col).alias("html"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, tags = Counter(), Counter()
