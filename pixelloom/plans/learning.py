@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.stats import rounded as R
-from ..operators import features, learned, ml, wavelet
+from ..operators import extractor, features, learned, ml, wavelet
 from ..operators import planes as P
 from ..sources.tables import Options
 
@@ -76,4 +76,16 @@ def out_of_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ml.cross_validate(vector_table(spark, sf_dir), _COLUMNS, Options(folds=3, hidden=16), rounds=5)
 
 
-QUERIES |= {"learned_vectors": learned_vectors, "wavelet_rows": wavelet_rows, "trained_model": trained_model, "out_of_fold": out_of_fold}
+def unified_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The two summary modules of every image, joined."""
+    return extractor.unified(embedded_images(spark, sf_dir).drop("label"), ["vae", "vit"])
+
+
+def reconciled_pair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two trained models on the same vectors, and the surer one's verdict on each."""
+    rows = vector_table(spark, sf_dir)
+    a, b = (ml.train(rows, c, Options(max_depth=2, seed=k), rounds=4) for k, c in enumerate((_COLUMNS[:8], _COLUMNS[8:])))
+    return extractor.infer_pair(rows, a, b, label="label")
+
+
+QUERIES |= {"unified_summary": unified_summary, "reconciled_pair": reconciled_pair, "learned_vectors": learned_vectors, "wavelet_rows": wavelet_rows, "trained_model": trained_model, "out_of_fold": out_of_fold}

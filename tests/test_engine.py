@@ -145,3 +145,14 @@ def test_stream(spark, tmp_path):
     q.stop()
     assert spark.read.parquet(str(tmp_path / "out")).count() == 4
     assert extract_stream(stream, ["discrepancy"], None).isStreaming
+
+
+def test_unified_and_pairs(spark):
+    from pixelloom.operators import extractor
+
+    df = images.from_rows(spark, [{"image": RNG.integers(0, 256, (12, 12, 3))} for _ in range(2)])
+    sizes = extractor.combination_sizes(df)
+    assert sizes["artwork"] == 49 and sizes["learned"] == 768 and sizes["residual"] == 11 and sizes["wavelet"] == 26 and sizes["vae+vit"] == 4 and len(sizes) == 21
+    out = extractor.unified(df, ["VIT", "vae"]).collect()
+    assert len(out) == 2 and set(out[0].asDict()) == {"img_id", "vae_mean", "vae_std", "vit_mean", "vit_std"}
+    assert extractor.unified(df, []).columns == ["img_id"]
