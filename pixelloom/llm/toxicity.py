@@ -77,8 +77,11 @@ class Model:
         return float(1 - none), found
 
 
-def fit(bags: list[tuple[int, list[list[int]]]], names: list[str], steps: int = 300, rate: float = 0.1, shrink: float = 1e-3) -> Model:
-    """Weights from bags (label, sentences as lists of feature numbers) by Adam on the noisy-or likelihood."""
+def fit(bags: list[tuple[int, list[list[int]]]], names: list[str], steps: int = 300, rate: float = 0.1, shrink: float = 1e-3, least_weight: float = 0.3) -> Model:
+    """Weights from bags (label, sentences as lists of feature numbers) by Adam on the noisy-or likelihood.
+
+    Features of less than least_weight of the largest one are dropped: many weak ones would add up over a long clean text.
+    """
     label = np.array([y for y, _ in bags], float)
     bag = np.array([b for b, (_, s) in enumerate(bags) for _ in s], np.int64)
     flat = [s for _, ss in bags for s in ss]
@@ -99,7 +102,7 @@ def fit(bags: list[tuple[int, list[list[int]]]], names: list[str], steps: int =
         grad[:-1] += shrink * x[:-1]
         m, v = 0.9 * m + 0.1 * grad, 0.999 * v + 0.001 * grad**2
         x -= rate * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
-    return Model({n: float(w) for n, w in zip(names, x) if abs(w) > 0.02}, float(x[-1]))
+    return Model({n: float(w) for n, w in zip(names, x) if w > least_weight * x[:-1].max()}, float(x[-1]))
 
 
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", toxic_docs: int = TOXIC_DOCS, clean_docs: int = CLEAN_DOCS, top_features: int = TOP_FEATURES, least_share: float = 0.01, least_lift: float = 2.0) -> Model:
