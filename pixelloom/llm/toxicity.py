@@ -77,7 +77,7 @@ class Model:
         return float(1 - none), found
 
 
-def fit(bags: list[tuple[int, list[list[int]]]], names: list[str], steps: int = 300, rate: float = 0.1, shrink: float = 1e-3, least_weight: float = 0.3) -> Model:
+def fit(bags: list[tuple[int, list[list[int]]]], names: list[str], steps: int = 300, rate: float = 0.1, shrink: float = 1e-3, least_weight: float = 0.2) -> Model:
     """Weights from bags (label, sentences as lists of feature numbers) by Adam on the noisy-or likelihood.
 
     Features of less than least_weight of the largest one are dropped: many weak ones would add up over a long clean text.
