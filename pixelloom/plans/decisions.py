@@ -133,8 +133,8 @@ def model_confidence(spark, sf_dir):
     return scores(spark, sf_dir).groupBy(D.label_of(F.col("p1")).alias("origin"), D.confidence(F.col("p1")).alias("confidence")).agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("heuristic_dc", """SELECT vec_id AS id, round((CASE WHEN abs(embedding[1]) > 0.4 AND abs(embedding[1]) < 0.6 THEN 0.66 ELSE 0 END) + (CASE WHEN embedding[2] * 100 < 20 OR embedding[3] * 100 < 20 THEN 0.66 ELSE 0 END)
- + (CASE WHEN CAST(embedding[4] AS DOUBLE) * 100000 > 10300 THEN 0.66 ELSE 0 END) + (CASE WHEN CAST(embedding[5] AS DOUBLE) * 50 > 7 OR CAST(embedding[6] AS DOUBLE) * 50 > 7 THEN 0.66 ELSE 0 END), 6) + 0.0 AS weight FROM embeddings""")
+@query("heuristic_dc", """SELECT vec_id AS id, round(CAST((CASE WHEN abs(embedding[1]) > 0.4 AND abs(embedding[1]) < 0.6 THEN 0.66 ELSE 0 END) + (CASE WHEN embedding[2] * 100 < 20 OR embedding[3] * 100 < 20 THEN 0.66 ELSE 0 END)
+ + (CASE WHEN CAST(embedding[4] AS DOUBLE) * 100000 > 10300 THEN 0.66 ELSE 0 END) + (CASE WHEN CAST(embedding[5] AS DOUBLE) * 50 > 7 OR CAST(embedding[6] AS DOUBLE) * 50 > 7 THEN 0.66 ELSE 0 END) AS DOUBLE), 6) + 0.0 AS weight FROM embeddings""")
 def heuristic_dc(spark, sf_dir):
     e = lambda k: F.get("embedding", F.lit(k - 1))
     d = lambda k, m: e(k).cast("double") * m
@@ -143,8 +143,8 @@ def heuristic_dc(spark, sf_dir):
 
 
 @query("heuristic_ae", """WITH v AS (SELECT vec_id AS id, [CAST(x AS DOUBLE) FOR x IN embedding] AS e FROM embeddings)
-SELECT id, round((CASE WHEN e[1] * 20 > 4.25 OR e[2] * 20 > 4.25 THEN 0.8 ELSE 0 END) + (CASE WHEN e[3] * 40 < 4 OR e[4] * 40 < 4 THEN 0.66 ELSE 0 END) + (CASE WHEN e[5] * 1000000 >= 150000 THEN 0.7 ELSE 0 END)
- + (CASE WHEN abs(e[6] * 300) > 40 AND abs(e[6] * 300) < 60 AND abs(e[7] * 300) > 40 AND abs(e[7] * 300) < 60 THEN 0.66 ELSE 0 END) + (CASE WHEN e[8] * 30 >= 5 OR e[9] * 30 >= 5 THEN 0.66 ELSE 0 END), 6) + 0.0 AS weight FROM v""")
+SELECT id, round(CAST((CASE WHEN e[1] * 20 > 4.25 OR e[2] * 20 > 4.25 THEN 0.8 ELSE 0 END) + (CASE WHEN e[3] * 40 < 4 OR e[4] * 40 < 4 THEN 0.66 ELSE 0 END) + (CASE WHEN e[5] * 1000000 >= 150000 THEN 0.7 ELSE 0 END)
+ + (CASE WHEN abs(e[6] * 300) > 40 AND abs(e[6] * 300) < 60 AND abs(e[7] * 300) > 40 AND abs(e[7] * 300) < 60 THEN 0.66 ELSE 0 END) + (CASE WHEN e[8] * 30 >= 5 OR e[9] * 30 >= 5 THEN 0.66 ELSE 0 END) AS DOUBLE), 6) + 0.0 AS weight FROM v""")
 def heuristic_ae(spark, sf_dir):
     d = lambda k, m: F.get("embedding", F.lit(k - 1)).cast("double") * m
     w = D.weight_ae(F.array(d(1, 20), d(2, 20)), F.array(d(3, 40), d(4, 40)), d(5, 1000000), d(6, 300), d(7, 300), F.array(d(8, 30), d(9, 30)))
