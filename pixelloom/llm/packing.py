@@ -7,7 +7,9 @@ max_tokens rows, whatever the input. Lengths are placed from long to short.
 Among groups of equal open sequences that have room in every capacity, the one
 with the smallest weighted norm of what would be left (rule "norm") or the
 largest weighted dot product of need and room (rule "dot") takes as many pieces
-as fit; a capacity weighs as much as the whole input needs of it.
+as fit; a capacity weighs as much as the whole input needs of it. Unless they
+are given, max_docs and max_cost are what a sequence of max_tokens tokens can
+hold at most, so tokens alone bind then, as in the registered query.
 
 Scale: the plan is a list of ranges (length, first rank, sequences, offset);
 each piece finds its place from its rank among pieces of its length. Ranks come
@@ -28,6 +30,7 @@ from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -37,30 +40,54 @@ from .tokens import tokenizer
 
 TOKENIZER = "word_bpe_49k.json"
 MAX_TOKENS = 2048
+#: Texts are encoded side by side in slices of about this many bytes; a longer text is a slice of its own.
+_SLICE_BYTES = 8 << 20
 _PIECE = "row long, id long, piece int, start long, length long, ids_crc32 long, task int, turn long"
 
 
+def _by_bytes(batch: pa.RecordBatch, most: int = _SLICE_BYTES) -> Iterator[pa.RecordBatch]:
+    """Slices of a batch whose texts have about `most` bytes together, and one row at least."""
+    sizes = pc.binary_length(batch.column(2)).fill_null(0).to_numpy(zero_copy_only=False)
+    sums, at = np.r_[0, np.cumsum(sizes, dtype=np.int64)], 0
+    while at < batch.num_rows:
+        to = max(at + 1, int(np.searchsorted(sums, sums[at] + most, "right")) - 1)
+        yield batch.slice(at, to - at)
+        at = to
+
+
+def _turns(length: np.ndarray, before: np.ndarray) -> np.ndarray:
+    """How often each length has stood before, counting on from `before`, which is brought up to date."""
+    order = np.argsort(length, kind="stable")
+    heads = np.flatnonzero(np.r_[True, np.diff(length[order]) != 0]) if len(length) else np.zeros(0, np.int64)
+    size = np.diff(np.r_[heads, len(length)])
+    out = np.empty(len(length), np.int64)
+    out[order] = np.arange(len(length)) - np.repeat(heads, size) + before[length[order]]
+    before += np.bincount(length, minlength=len(before))
+    return out
+
+
 def pieces(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", row_col: str | None = None, path: str = TOKENIZER, max_tokens: int = MAX_TOKENS, end: int = 0) -> DataFrame:
     """The token pieces of each document; turn counts the pieces of one length in a task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        task, turns, own, last = TaskContext.get().partitionId(), {}, tokenizer(path), np.array([end], "<u4").tobytes()
+        task, turns, own, last = TaskContext.get().partitionId(), np.zeros(max_tokens + 1, np.int64), tokenizer(path), np.array([end], "<u4").tobytes()
         for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                rows, ids, texts = (c.to_pylist() for c in batch.slice(at, 256).columns)
-                out = []
-                for row, key, raw in zip(rows, ids, own.ids(texts)):
-                    raw += last
-                    n = len(raw) // 4
-                    for k, start in enumerate(range(0, n, max_tokens)):
-                        length = min(max_tokens, n - start)
-                        turn = turns.get(length, 0)
-                        turns[length] = turn + 1
-                        out.append((row, key, k, start, length, crc32(raw[4 * start : 4 * (start + length)]), task, turn))
-                yield pa.RecordBatch.from_pylist([dict(zip(names, r)) for r in out], schema)
+            for part in _by_bytes(batch):
+                ids, at = own.encode(part.column(2))
+                raw, sizes = ids.astype("<u4", copy=False).view(np.uint8), np.diff(at) + 1
+                many = -(-sizes // max_tokens)
+                doc = np.repeat(np.arange(len(many)), many)
+                piece = np.arange(len(doc)) - np.repeat(np.cumsum(many) - many, many)
+                start = piece * max_tokens
+                length = np.minimum(max_tokens, sizes[doc] - start)
+                ends = piece == many[doc] - 1
+                a, b = at[doc] + start, at[doc] + start + length - ends
+                sums = [crc32(last, crc32(raw[4 * x : 4 * y])) if z else crc32(raw[4 * x : 4 * y]) for x, y, z in zip(a.tolist(), b.tolist(), ends.tolist())]
+                turn = _turns(length, turns)
+                rows = pa.array(doc)
+                yield pa.RecordBatch.from_arrays([part.column(0).take(rows), part.column(1).take(rows), pa.array(piece, pa.int32()), pa.array(start), pa.array(length), pa.array(sums, pa.int64()), pa.array(np.full(len(doc), task), pa.int32()), pa.array(turn)], names=names)
 
     names = [p.split()[0] for p in _PIECE.split(", ")]
-    schema = pa.schema([(p.split()[0], {"long": pa.int64(), "int": pa.int32()}[p.split()[1]]) for p in _PIECE.split(", ")])
     row = F.col(row_col) if row_col else F.monotonically_increasing_id()
     return docs.select(row.cast("long").alias("row"), F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).mapInArrow(run, _PIECE)
 

@@ -1,9 +1,16 @@
-"""Token ids of whole texts from a public tokenizer file, with each word of a batch encoded once.
+"""Token ids of whole texts from a public tokenizer file, as columns.
 
 A tokenizer that drops white space gives a text the ids of its words, one after
-the other, so the ids of a word are kept and reused. New words of plain letters
-and signs are merged for all words of a batch at once, as columns; any other
-word, and any word if the file isn't of the known kind, goes to the library.
+the other. So the words of a batch are split and told apart in Arrow, each
+distinct word is encoded once, and the ids are gathered back. Words of plain
+letters, with a sign after them or not, are merged side by side, and what they
+give is kept for the batches to come; any other word, and any word if the file
+isn't of the known kind, goes to the library.
+
+Cases: null and empty texts have no ids; white space is the six ASCII
+characters, and all other characters are the library's matter; bytes that
+aren't UTF-8 count as U+FFFD; a word of any length costs no more than the
+library takes for it; equal texts have equal ids; an empty batch has none.
 """
 
 from __future__ import annotations
@@ -12,14 +19,33 @@ import json
 import re
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
-#: Words that lower-casing and normalisation treat letter by letter: ASCII, Latin-1 letters and Latin Extended-A without U+0130 and U+0149.
-_PLAIN = re.compile(r"[!-~À-ÖØ-öø-įı-ňŊ-ſ]+")
+#: Letters that lower-casing and normalisation treat one by one: ASCII, Latin-1 letters and Latin Extended-A without U+0130 and U+0149.
+_LETTERS = "A-Za-zÀ-ÖØ-öø-įı-ňŊ-ſ"
+_PLAIN = re.compile(rf"[!-~{_LETTERS}]+")
 #: Signs that stand alone after letters, whatever the letters are.
-_SIGNS = (b".", b",", b";", b":", b"!", b"?", b"|")
+_SIGNS = ".,;:!?|"
+#: Bytes of the longest word that is merged here; each step of a merge passes over the whole word.
+_LONGEST = 48
 _NONE = np.int64(1 << 40)
 
 
+def _runs(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The places starts[i], ..., starts[i] + sizes[i] - 1 for each i, one after the other."""
+    ends = np.cumsum(sizes)
+    return np.arange(int(ends[-1]) if len(ends) else 0) + np.repeat(starts - ends + sizes, sizes)
+
+
+def _bytes_of(words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Offsets and bytes of an array of strings."""
+    words = words.cast(pa.large_string())
+    _, offsets, data = words.buffers()
+    at = np.frombuffer(offsets, np.int64)[words.offset : words.offset + len(words) + 1]
+    return at, np.frombuffer(data, np.uint8) if data is not None and data.size else np.zeros(0, np.uint8)
+
+
 class _Merges:
     """Byte-pair merges of many words at once."""
 
@@ -59,55 +85,85 @@ class _Merges:
             out[hit] = e[hit]
         return out
 
-    def encode(self, words: list[bytes]) -> list[bytes]:
-        """The ids of each word, as little-endian unsigned 32-bit integers."""
-        out: list[bytes] = [b""] * len(words)
-        by_length: dict[int, list[int]] = {}
-        for i, w in enumerate(words):
-            by_length.setdefault(len(w), []).append(i)
-        for n, who in by_length.items():
-            step = max(1, 400_000 // n)
-            for at in range(0, len(who), step):
-                some = np.array(who[at : at + step])
-                raw = np.frombuffer(b"".join(words[i] for i in some), np.uint8).reshape(len(some), n)
+    def encode(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all words in a row, and the number of each word's ids."""
+        at, data = _bytes_of(words)
+        starts, lengths = at[:-1], np.diff(at)
+        order = np.argsort(lengths, kind="stable")
+        room, sizes = np.zeros(int(lengths.sum()), np.uint32), np.zeros(len(lengths), np.int64)
+        own = starts - (at[0] if len(at) else 0)
+        edges = np.searchsorted(lengths[order], np.arange(1, int(lengths.max(initial=0)) + 2))
+        for n, (a, b) in enumerate(zip(edges, edges[1:]), 1):
+            step = max(1, 200_000 // n)
+            for k in range(a, b, step):
+                some = order[k : min(b, k + step)]
+                raw = data[starts[some][:, None] + np.arange(n)]
                 ids = self.inner[raw]
                 ids[:, -1] = self.last[raw[:, -1]]
-                self._merge(ids, some, out)
-        return out
+                self._merge(ids, some, own, room, sizes)
+        return room[_runs(own, sizes)], sizes
 
-    def _merge(self, ids: np.ndarray, who: np.ndarray, out: list[bytes]) -> None:
+    def _merge(self, ids: np.ndarray, who: np.ndarray, own: np.ndarray, room: np.ndarray, sizes: np.ndarray) -> None:
+        rank = self.ranks((ids[:, :-1] << 20) | ids[:, 1:])
         while True:
             n = ids.shape[1]
             if n > 1:
-                rank = self.ranks((ids[:, :-1] << 20) | ids[:, 1:])
                 best = rank.argmin(1)
                 least = rank[np.arange(len(ids)), best]
                 more = least < _NONE
             else:
                 more = np.zeros(len(ids), bool)
-            raw = ids[~more].astype("<u4").tobytes()
-            for k, i in enumerate(who[~more].tolist()):
-                out[i] = raw[4 * n * k : 4 * n * (k + 1)]
-            if not more.any():
+            done = who[~more]
+            if len(done):
+                room[own[done][:, None] + np.arange(n)] = ids[~more]
+                sizes[done] = n
+            if len(done) == len(who):
                 return
-            ids, who, best, least = ids[more], who[more], best[more], least[more]
+            if len(done):
+                ids, rank, who, best, least = ids[more], rank[more], who[more], best[more], least[more]
             row = np.arange(len(ids))
             ids[row, best] = self.made[least]
             keep = np.ones(ids.shape, bool)
             keep[row, best + 1] = False
             ids = ids[keep].reshape(len(ids), n - 1)
+            # Only the pairs around the merged one have changed.
+            keep = np.ones(rank.shape, bool)
+            keep[row, best] = False
+            rank = rank[keep].reshape(len(ids), n - 2)
+            for place in (best - 1, best):
+                some = np.flatnonzero((place >= 0) & (place < n - 2))
+                at = place[some]
+                rank[some, at] = self.ranks((ids[some, at] << 20) | ids[some, at + 1])
+
+
+class _Store:
+    """Ids by number: those of entry i are ids[starts[i] : starts[i] + sizes[i]]."""
+
+    def __init__(self) -> None:
+        self.ids, self.starts, self.sizes = np.zeros(1 << 16, np.uint32), np.zeros(1 << 14, np.int64), np.zeros(1 << 14, np.int64)
+        self.used = self.count = 0
+
+    def add(self, ids: np.ndarray, sizes: np.ndarray) -> int:
+        """Appends entries and returns the number of the first one."""
+        used, count, first = self.used + len(ids), self.count + len(sizes), self.count
+        if used > len(self.ids):
+            self.ids = np.resize(self.ids, 2 * used)
+        if count > len(self.starts):
+            self.starts, self.sizes = np.resize(self.starts, 2 * count), np.resize(self.sizes, 2 * count)
+        self.ids[self.used : used] = ids
+        self.starts[first:count] = self.used + np.cumsum(sizes) - sizes
+        self.sizes[first:count] = sizes
+        self.used, self.count = used, count
+        return first
 
 
 class WordTokenizer:
-    """ids(texts): the ids of each text without special tokens, as little-endian unsigned 32-bit integers."""
+    """encode(texts): the ids of all texts in a row, without special tokens, and where each text's ids begin and end."""
 
     def __init__(self, path: str, most_kept: int = 300_000):
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
-        self.kept: dict[bytes, bytes] = {}
-        self.old: dict[bytes, bytes] = {}
-        self.pieces: dict[bytes, bytes] = {}
         self.most_kept = most_kept
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
@@ -120,54 +176,89 @@ class WordTokenizer:
 
             self.merges = _Merges(spec["model"])
             self.parts = regex.compile(split[0]["pattern"]["Regex"]).findall
+        self._reset()
+
+    def _reset(self) -> None:
+        self.store = _Store()
+        self.store.add(np.zeros(0, np.uint32), np.zeros(1, np.int64))  # entry 0: nothing
+        self.pieces: dict[str, int] = {}  # runs of letters in lower case, and parts of signs
+        self.others: dict[bytes, int] = {}  # words that need the library's own rules
 
     def ids(self, texts: list[str | None]) -> list[bytes]:
-        words = [(t or "").encode("utf-8", "surrogatepass").split() for t in texts]
-        if len(self.kept) > self.most_kept:  # words of the last generation are found again without being encoded
-            self.old, self.kept = self.kept, {}
-        if len(self.pieces) > self.most_kept:
-            self.pieces = {}
-        new = set()
-        for w in words:
-            new.update(w)
-        self._learn(new.difference(self.kept))
-        get = self.kept.__getitem__
-        return [b"".join(map(get, w)) for w in words]
-
-    def _learn(self, new: set[bytes]) -> None:
-        odd, single, plain, several = [], [], [], []
-        old, kept, fast = self.old, self.kept, self.merges is not None
+        """The ids of each text as little-endian unsigned 32-bit integers."""
+        ids, at = self.encode(pa.array([(t or "").encode("utf-8", "replace") for t in texts], pa.binary()).cast(pa.string()))
+        return [ids[a:b].astype("<u4").tobytes() for a, b in zip(at, at[1:])]
+
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        rows = pc.ascii_split_whitespace(texts.fill_null(""))
+        known = rows.flatten().dictionary_encode()
+        at = rows.offsets.to_numpy()
+        if self.store.count > self.most_kept:
+            self._reset()
+        starts, sizes, ids = self._words(known.dictionary)
+        code = known.indices.to_numpy(zero_copy_only=False)
+        per = sizes[code]
+        ends = np.r_[0, np.cumsum(per)]
+        return ids[_runs(starts[code], per)], ends[at - at[0]]
+
+    def _words(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Start and number of the ids of each word, and the ids."""
+        first, second = np.zeros(len(words), np.int64), np.zeros(len(words), np.int64)  # entries of the store
+        left = np.asarray(pc.greater(pc.binary_length(words), 0)).astype(bool)
+        if self.merges is not None:
+            short = pc.less_equal(pc.binary_length(words), _LONGEST)
+            plain = pc.and_(pc.match_substring_regex(words, f"^[{_LETTERS}]+$"), short)
+            signed = pc.and_(pc.match_substring_regex(words, f"^[{_LETTERS}]+[{_SIGNS}]$"), short)
+            a, b = np.flatnonzero(plain), np.flatnonzero(signed)
+            with_sign = words.filter(signed)
+            kinds = pa.concat_arrays([pc.utf8_lower(words.filter(plain)), pc.utf8_lower(pc.utf8_slice_codeunits(with_sign, 0, -1)), pc.utf8_slice_codeunits(with_sign, -1)]).dictionary_encode()
+            entry = self._pieces(kinds.dictionary)[kinds.indices.to_numpy(zero_copy_only=False)]
+            first[a], first[b], second[b] = entry[: len(a)], entry[len(a) : len(a) + len(b)], entry[len(a) + len(b) :]
+            left[a] = left[b] = False
+        rest = np.flatnonzero(left)
+        if len(rest):
+            raw = words.take(pa.array(rest)).cast(pa.binary()).to_pylist()
+            self._others({w for w in raw if w not in self.others})
+            first[rest] = [self.others[w] for w in raw]
+        both = np.stack([first, second], 1).ravel()
+        per = self.store.sizes[both]
+        ids = self.store.ids[_runs(self.store.starts[both], per)]
+        sizes = per[::2] + per[1::2]
+        return np.cumsum(sizes) - sizes, sizes, ids
+
+    def _pieces(self, words: pa.Array) -> np.ndarray:
+        get = self.pieces.get
+        names = words.to_pylist()
+        entry = np.fromiter((get(w, 0) for w in names), np.int64, len(names))
+        new = np.flatnonzero(entry == 0)
+        if len(new):
+            entry[new] = np.arange(len(new)) + self.store.add(*self.merges.encode(words.take(pa.array(new))))
+            self.pieces.update(zip([names[i] for i in new], entry[new].tolist()))
+        return entry
+
+    def _others(self, new: set[bytes]) -> None:
+        odd, several = [], []
         for raw in new:
-            known = old.get(raw)
-            if known is not None:
-                kept[raw] = known
-            elif fast and raw.isalpha():  # ASCII letters only
-                single.append(raw)
-                plain.append(raw.lower())
-            elif fast and raw[-1:] in _SIGNS and raw[:-1].isalpha():
-                several.append((raw, (raw[:-1].lower(), raw[-1:])))
+            w = raw.decode("utf-8", "replace")
+            if self.merges is None or len(raw) > _LONGEST or not _PLAIN.fullmatch(w) or self.special(w):
+                odd.append((raw, w))
             else:
-                w = raw.decode("utf-8", "replace")
-                if not fast or not _PLAIN.fullmatch(w) or self.special(w):
-                    odd.append((raw, w))
-                elif w.isalpha():
-                    single.append(raw)
-                    plain.append(w.lower().encode())
-                else:
-                    several.append((raw, [x.encode() for x in self.parts(w.lower())]))
-        pieces = self.pieces
-        missing = set(plain).difference(pieces)
-        missing.update(p for _, parts in several for p in parts if p not in pieces)
-        if missing:
-            missing = list(missing)
-            pieces.update(zip(missing, self.merges.encode(missing)))
-        kept.update(zip(single, map(pieces.__getitem__, plain)))
-        for raw, parts in several:
-            kept[raw] = b"".join([pieces[p] for p in parts])
+                several.append((raw, self.parts(w.lower())))
+        if several:
+            parts = [p for _, ps in several for p in ps]
+            kinds = pa.array(parts, pa.string()).dictionary_encode()
+            entry = self._pieces(kinds.dictionary)[kinds.indices.to_numpy(zero_copy_only=False)]
+            n = np.array([len(ps) for _, ps in several])
+            per, ends = self.store.sizes[entry], np.cumsum(n)
+            ids = self.store.ids[_runs(self.store.starts[entry], per)]
+            sums = np.r_[0, np.cumsum(per)]
+            at = self.store.add(ids, sums[ends] - sums[ends - n])
+            self.others.update((raw, at + i) for i, (raw, _) in enumerate(several))
         for at in range(0, len(odd), 1000):
             some = odd[at : at + 1000]
-            for (raw, _), e in zip(some, self.library.encode_batch([w for _, w in some], add_special_tokens=False)):
-                kept[raw] = np.array(e.ids, "<u4").tobytes()
+            found = [e.ids for e in self.library.encode_batch([w for _, w in some], add_special_tokens=False)]
+            first = self.store.add(np.array([i for ids in found for i in ids], np.uint32), np.array([len(ids) for ids in found], np.int64))
+            self.others.update((raw, first + i) for i, (raw, _) in enumerate(some))
 
 
 _LOADED: dict[str, WordTokenizer] = {}
