@@ -49,7 +49,7 @@ def check(rows, texts, most, max_docs=None, max_cost=None):
 
 
 def test_whole_documents(docs):
-    for most, max_docs, max_cost in ((2048, None, None), (64, 3, 700)):
+    for most, max_docs, max_cost in ((2048, None, None), (64, None, None), (64, 3, None), (64, None, 700), (64, 3, 700)):
         rows = packing.pack(docs, max_tokens=most, max_docs=max_docs, max_cost=max_cost).collect()
         check(rows, TEXTS, most, max_docs, max_cost)
 

@@ -45,7 +45,7 @@ def test_texts(docs):
     assert sum(r.kept for r in out) == len(set(find(k) for k in range(len(items))))
 
 
-@pytest.mark.parametrize("segments, most", [(32, 3), (16, 2), (32, 5)])
+@pytest.mark.parametrize("segments, most", [(64, 3), (32, 3), (16, 3), (32, 2), (16, 2), (32, 5)])
 def test_links_equal_brute_force(spark, segments, most):
     rng = random.Random(5)
     fps = {rng.getrandbits(64) for _ in range(300)}
@@ -72,7 +72,7 @@ def test_links_equal_brute_force(spark, segments, most):
 
 
 def test_long_chain(spark):
-    n = 40
+    n = 60
     links = spark.createDataFrame([(i, i + 1) for i in range(n)] + [(1000, 1000)], "a long, b long")
     out = components(links).collect()
     assert len(out) == n + 1 and len({r.root for r in out}) == 1
