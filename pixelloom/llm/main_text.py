@@ -7,7 +7,7 @@ scan. Both chances are logistic and learned from pages that label themselves:
 what their only <article> or <main> holds is content, the rest isn't. A word's
 place is told by its block (length, share of links, last sign, tag, length of
 the blocks around) and by the names of the elements around it, a tag's by the
-tag and these names, or, if it breaks no line, by its block. Each labelled page
+tag and these names; one that breaks no line costs what half a word gains. Each labelled page
 is learned from three times: as it is, without its names, and without names and
 tags, so that pages of other templates are read by what is left. Well-known names start with the counts of a few words,
 which a few pages overrule. Of names around a word the worst decides, unless its
@@ -321,7 +321,7 @@ Key = tuple[str, int, int, int, int, str, float]
 def keys(page: Page, odds: dict[str, float]) -> list[tuple[Key | None, int]]:
     """What a token's score depends on, and how many words it has; None for text without a word.
 
-    A tag that breaks no line is as likely content as the words of its block.
+    A tag that breaks no line costs half of what a word of its block gains, so that none splits a sentence.
     """
     names = name_scores(page, odds)
     of, kinds = blocks(page)
@@ -388,11 +388,12 @@ class Scores:
         self.known: dict[Key, float] = {}
 
     def of(self, key: Key) -> float:
-        """The gain of a word, near its log-odds of content if they are high, or the cost of a tag, near these if they are low; near nothing otherwise."""
+        """The gain of a word, near its log-odds of content if they are high, or the cost of a tag, near these if they are low; near nothing otherwise; half a word's gain for a tag that breaks no line."""
         gain = self.known.get(key)
         if gain is None:
             z = max(-6.0, min(6.0, float(_vector(key, self.tags) @ self.weights["tag" if key[0] == "tag" else "word"])))
-            gain = self.known[key] = math.log1p(math.exp(_SHARP * z)) / _SHARP if key[0] == "word" else -math.log1p(math.exp(-_SHARP * z)) / _SHARP
+            up, down = (math.log1p(math.exp(x * _SHARP)) / _SHARP for x in (z, -z))
+            gain = self.known[key] = {"word": up, "tag": -down, "inline": -up / 2}[key[0]]
         return gain
 
 
