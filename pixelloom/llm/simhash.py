@@ -10,8 +10,9 @@ around it, on one side only, since the other one of a pair does the rest.
 Fingerprints that meet in a cell are compared exactly, bit by bit.
 
 Scale: equal fingerprints are one node, whatever the number of their texts.
-With segments of two bits a cell holds a few millionths of unrelated
-fingerprints. In a cell of many near copies only a spanning forest of the
+With segments of one bit, 34 rows for each fingerprint on average, an unrelated
+one meets it with a chance of 66 in 2^32 (with two bits, 26 rows and 300
+times that chance). In a cell of many near copies only a spanning forest of the
 links is returned, never all pairs; no cell is cut short.
 
 Cases: null and empty texts and those without a word have fingerprint zero and
@@ -35,7 +36,7 @@ from pyspark.sql import functions as F
 from . import common as C
 from .components import components
 
-SHINGLE, MAX_DISTANCE, SEGMENTS = 3, 3, 32
+SHINGLE, MAX_DISTANCE, SEGMENTS = 3, 3, 64
 SEED = 42
 _LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
 _SLICE = 20_000
@@ -196,10 +197,12 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", row
     """One row per row of docs: row, id, fp, component_id (the smallest id of its class), kept (the first row of that id)."""
     rows, _ = C.cut(fingerprints(docs, id_col, text_col, row_col, shingle), "fingerprints")
     first = F.min(F.struct(F.col("id").isNull().alias("no_id"), "id", "row")).alias("first")
-    nodes, _ = C.cut(rows.groupBy("fp").agg(first), "nodes")
+    nodes, p1 = C.cut(rows.groupBy("fp").agg(first), "nodes")
     roots = components(near_links(nodes, segments, max_distance))
     rooted = nodes.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
-    rooted, _ = C.cut(rooted, "rooted")
-    heads = rooted.groupBy("root").agg(F.min("first").alias("head"))
+    rooted, p2 = C.cut(rooted, "rooted")
+    # A table of its own, so that the join can split a class that holds much of all fingerprints.
+    heads, p3 = C.cut(rooted.groupBy("root").agg(F.min("first").alias("head")), "heads")
     named, _ = C.cut(rooted.join(heads, "root").select("fp", "head"), "classes")
+    C.drop(docs.sparkSession, p1, p2, p3)
     return rows.join(named, "fp").select("row", "id", "fp", F.col("head.id").alias("component_id"), (F.col("row") == F.col("head.row")).alias("kept"))
