@@ -31,22 +31,51 @@ def scratch_root(spark: SparkSession) -> str:
     return root
 
 
+#: Scratch tables that are still there, in the order they were made.
+_MADE: list[str] = []
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
-    return f"{scratch_root(spark)}/{name}-{uuid.uuid4().hex}"
+    _MADE.append(f"{scratch_root(spark)}/{name}-{uuid.uuid4().hex}")
+    return _MADE[-1]
 
 
 def cut(df: DataFrame, name: str) -> tuple[DataFrame, str]:
     """df written to the shared folder and read again: its lineage ends there, and a lost executor costs one file read."""
     path = scratch_path(df.sparkSession, name)
     df.write.parquet(path)
+    drop_at_end(df.sparkSession, path)
     return df.sparkSession.read.schema(df.schema).parquet(path), path
 
 
+def _files(spark: SparkSession, path: str):
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return target, target.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
+def drop_at_end(spark: SparkSession, path: str) -> None:
+    """Lets the driver delete a scratch table as it ends, if nothing does before."""
+    target, files = _files(spark, path)
+    files.deleteOnExit(target)
+
+
 def drop(spark: SparkSession, *paths: str) -> None:
     """Deletes scratch tables that no later plan reads."""
     for path in paths:
-        target = spark._jvm.org.apache.hadoop.fs.Path(path)
-        target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+        if path in _MADE:
+            _MADE.remove(path)
+        target, files = _files(spark, path)
+        files.delete(target, True)
+
+
+def made() -> int:
+    """A mark for drop_since()."""
+    return len(_MADE)
+
+
+def drop_since(spark: SparkSession, mark: int, keep: str | None = None) -> None:
+    """Deletes the scratch tables made since the mark, but for one; for use once results that read them are written."""
+    drop(spark, *[p for p in _MADE[mark:] if p != keep])
 
 
 def with_row(df: DataFrame) -> DataFrame:

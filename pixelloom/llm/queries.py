@@ -33,6 +33,7 @@ FROM d
 def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = C.scratch_path(spark, "warc")
     warc.write_archives(C.read(spark, sf_dir, "pages"), path)
+    C.drop_at_end(spark, path)
     return warc.read_archives(spark, path)
 
 
@@ -82,7 +83,8 @@ OP3_SQL = rf"""
 WITH sizes AS (
   SELECT doc_id, CASE WHEN md5(coalesce(source, '')) < '8' THEN 'a' ELSE 'b' END AS domain,
          coalesce(lang, '<null>') AS lang, coalesce(source, '<null>') AS source,
-         len(regexp_extract_all(coalesce(text, ''), '[^ 	-]+')) AS tokens
+         len(regexp_extract_all(coalesce(text, ''), '[^ 	-
+]+')) AS tokens
   FROM documents
 ),
 leaves AS (SELECT domain, lang, source, CAST(sum(tokens) AS BIGINT) AS supply, CAST(sum(tokens) * {MIX_EPOCHS} AS DOUBLE) AS cap FROM sizes GROUP BY ALL),

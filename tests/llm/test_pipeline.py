@@ -8,12 +8,11 @@ import pytest
 import corpus_pipeline
 from pixelloom.llm import common as C
 from pixelloom.llm import queries as Q
-from pixelloom.llm import simhash_bands as B
 
 from .conftest import DOCS
 from .test_mixing import slow as slow_mix
 from .test_packing import check as check_packing
-from .test_simhash import slow_classes
+from .test_simhash_bands import classes
 
 
 def tables(rng):
@@ -66,10 +65,10 @@ def test_stages(spark, sf):
     assert docs.columns == columns and order(kept) == order(min(g, key=lambda r: (-len(r[1]), r[0] is None, r[0])) for g in groups.values())
 
     docs, _ = C.cut(stages["near_dedup"](spark, docs, sf), "test")
-    _, find = slow_classes([(r[0], int.from_bytes(B.wide_fingerprint(r[1]).tobytes(), "little")) for r in kept], int(B.bits_apart(B.SIMILARITY - 0.02)))
+    same = classes([r[1] for r in kept])
     groups = {}
     for k, r in enumerate(kept):
-        groups.setdefault(find(k), []).append(r)
+        groups.setdefault(same[k], []).append(r)
     assert len(groups) < len(kept)
     kept = rows(docs)
     assert docs.columns == columns and order(kept) == order(min(g, key=lambda r: (r[0] is None, r[0])) for g in groups.values())
