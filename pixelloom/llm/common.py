@@ -15,8 +15,12 @@ SPACES = " \t\n\x0b\x0c\r"
 ROW = "__row"
 
 
+_OWN: str | None = None
+
+
 def scratch_root(spark: SparkSession) -> str:
-    """The shared folder of spark.checkpoint.dir; where that is unset (local tests) a temporary folder, which is then set."""
+    """The shared folder of spark.checkpoint.dir; where that is unset (local tests) a temporary folder of this process."""
+    global _OWN
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
         hadoop = spark.sparkContext._jsc.sc().getCheckpointDir()
@@ -24,10 +28,10 @@ def scratch_root(spark: SparkSession) -> str:
     if not root:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-        own = tempfile.mkdtemp(prefix="pixelloom-")
-        atexit.register(shutil.rmtree, own, ignore_errors=True)
-        root = f"file://{own}"
-        spark.conf.set("spark.checkpoint.dir", root)
+        if _OWN is None:
+            _OWN = tempfile.mkdtemp(prefix="pixelloom-")
+            atexit.register(shutil.rmtree, _OWN, ignore_errors=True)
+        root = f"file://{_OWN}"
     return root
 
 

@@ -10,8 +10,9 @@ prefix of that endless row whose tokens meet its budget.
 
 Scale: supplies are sums by leaf; shares are window sums over the children of
 a node, so neither leaves nor documents reach the driver. The order within a
-leaf is the md5 of seed, epoch and id: tokens are summed for each of 4096 ranges
-of it first, so no leaf, whatever its share of the rows, is sorted in one task.
+leaf is the md5 of seed, epoch and id: tokens are summed for ranges of it first,
+as many as leave a thousand rows or fewer in each, and these sums are added up
+sixteen at a time; so no leaf, whatever its share of the rows, is sorted or summed in one task.
 
 Cases: null and empty texts have no words and are taken where their turn comes,
 at no cost; a null domain, language or source is a value of its own; a weight
@@ -24,6 +25,8 @@ empty result.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -31,6 +34,8 @@ from . import common as C
 
 LEVELS = ("domain", "lang", "source")
 _TINY = 1e-9
+#: Rows of the largest leaf in each range of the hash, on average and at most.
+PART_ROWS = 1000
 
 
 def word_count(text: Column) -> Column:
@@ -76,6 +81,23 @@ def budgets(leaves: DataFrame, weights: dict[str, dict[str, float]], budget: flo
     return parts.select(*LEVELS, "supply", "budget")
 
 
+def _starts(sums: DataFrame, leaf: list[str], digits: int) -> DataFrame:
+    """sums(leaf, part, n) with before: the tokens of all parts of the leaf ahead of this one.
+
+    Parts are told by hexadecimal digits, and are summed digit by digit: a window holds the sixteen parts of one digit.
+    """
+    out = None
+    for k in range(1, digits + 1):
+        level = sums.groupBy(*leaf, F.substring("part", 1, k).alias("part")).agg(F.sum("n").alias("n")) if k < digits else sums
+        level = level.withColumn("up", F.substring("part", 1, k - 1) if k > 1 else F.lit(""))
+        before = Window.partitionBy(*leaf, "up").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+        level = level.select(*leaf, "part", "up", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"))
+        if out is not None:
+            level = level.join(out.withColumnsRenamed({"part": "up", "before": "ahead"}), [*leaf, "up"]).withColumn("before", F.col("before") + F.col("ahead"))
+        out = level.select(*leaf, "part", "before")
+    return out
+
+
 def select(docs: DataFrame, weights: dict[str, dict[str, float]], domain: Column, lang: Column, source: Column, id_col: str = "doc_id", text_col: str = "text", row_col: str | None = None, budget: float = 1.0, max_epochs: float = 2.0, seed: int = 7, default_weight: float = 1.0) -> DataFrame:
     """One row per document taken: row, id, domain, lang, source, epoch, start (in its leaf's row of tokens), tokens.
 
@@ -84,18 +106,19 @@ def select(docs: DataFrame, weights: dict[str, dict[str, float]], domain: Column
     row = F.col(row_col) if row_col else F.monotonically_increasing_id()
     key = [F.coalesce(c.cast("string"), F.lit("<null>")).alias(n) for n, c in zip(LEVELS, (domain, lang, source))]
     sized, _ = C.cut(docs.select(row.cast("long").alias("row"), F.col(id_col).cast("long").alias("id"), *key, word_count(F.col(text_col)).alias("tokens")), "sizes")
-    leaves = sized.groupBy(*LEVELS).agg(F.sum("tokens").alias("supply"))
+    leaves, p1 = C.cut(sized.groupBy(*LEVELS).agg(F.sum("tokens").alias("supply"), F.count(F.lit(1)).alias("rows")), "leaves")
+    most = leaves.agg(F.max("rows").alias("rows")).first()["rows"] or 0
+    digits = max(1, math.ceil(math.log(max(1, most / PART_ROWS), 16)))
     parts, _ = C.cut(budgets(leaves, weights, budget, max_epochs, default_weight), "budgets")
+    C.drop(docs.sparkSession, p1)
 
     # Epochs that each leaf reads, the last one in part.
     epochs = parts.where("budget > 0").select(*LEVELS, "supply", "budget", F.explode(F.sequence(F.lit(0), F.greatest(F.lit(0), F.ceil(F.col("budget") / F.col("supply")).cast("int") - 1))).alias("epoch"))
     epochs = epochs.withColumn("left", F.col("budget") - F.col("epoch") * F.col("supply")).where("left > 0").select(*LEVELS, "epoch", "left")
     turn = F.md5(F.concat_ws("|", F.lit(str(seed)), F.col("epoch").cast("string"), F.coalesce(F.col("id").cast("string"), F.lit(""))).cast("binary"))
-    placed = sized.join(epochs, list(LEVELS)).withColumn("turn", turn).withColumn("part", F.substring("turn", 1, 3))
+    placed = sized.join(epochs, list(LEVELS)).withColumn("turn", turn).withColumn("part", F.substring("turn", 1, digits))
     leaf = [*LEVELS, "epoch"]
-    sums = placed.groupBy(*leaf, "part").agg(F.sum("tokens").alias("n"))
-    before = Window.partitionBy(*leaf).orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    starts = sums.select(*leaf, "part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"))
+    starts = _starts(placed.groupBy(*leaf, "part").agg(F.sum("tokens").alias("n")), leaf, digits)
     within = Window.partitionBy(*leaf, "part").orderBy("turn", "id", "row").rowsBetween(Window.unboundedPreceding, -1)
     ordered = placed.withColumn("inside", F.coalesce(F.sum("tokens").over(within), F.lit(0))).join(starts, [*leaf, "part"])
     out = ordered.withColumn("start", F.col("before") + F.col("inside")).where("start < left")
