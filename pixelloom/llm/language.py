@@ -8,8 +8,9 @@ finds the labels of all words with the best sum of scores, less a penalty for
 each switch; runs of equal labels are the spans. The language of the text is
 the one that most of its letters are labelled with.
 
-Scale: training counts n-grams with grouped sums over a bounded sample of
-sample_docs texts a language and keeps top_grams of them; prediction is one
+Scale: training counts n-grams with grouped sums over a bounded sample of about
+sample_docs texts a language and keeps top_grams of them, and as many counts of
+letters as there are scripts; prediction is one
 pass without a shuffle. Words are scored once a batch, and the Viterbi steps
 run over all texts of a batch side by side.
 
@@ -25,7 +26,6 @@ from __future__ import annotations
 
 import bisect
 import math
-import re
 from collections import Counter
 from collections.abc import Iterator
 
@@ -34,9 +34,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-SAMPLE_DOCS, TOP_GRAMS = 1000, 20_000
+SAMPLE_DOCS, TOP_GRAMS, MAX_LANGUAGES = 1000, 20_000, 1000
 LONGEST_GRAM, SWITCH = 4, 8.0
-_STRIP = re.compile(r"[\W\d_]+")
 _BATCH_CELLS = 400_000
 
 #: First code points of ranges of letters, and their script; "" starts a range of anything else.
@@ -61,7 +60,7 @@ def script(letter: str) -> str:
 
 
 def letters_of(word: str) -> str:
-    return word.lower() if word.isalpha() else _STRIP.sub("", word).lower()
+    return word.lower() if word.isalpha() else "".join(filter(str.isalpha, word)).lower()
 
 
 def grams(word: str) -> list[str]:
@@ -193,7 +192,7 @@ class WordScores:
 def viterbi(scores: list[np.ndarray], switch: float) -> list[np.ndarray]:
     """The best labels of each text: scores[d] has a row for each word and a column for each language."""
     sizes = [len(s) for s in scores]
-    out: list[np.ndarray] = [np.zeros(n, np.int8) for n in sizes]
+    out: list[np.ndarray] = [np.zeros(n, np.int32) for n in sizes]
     order = [d for d in sorted(range(len(scores)), key=lambda d: -sizes[d]) if sizes[d]]
     if not order:
         return out
@@ -203,7 +202,7 @@ def viterbi(scores: list[np.ndarray], switch: float) -> list[np.ndarray]:
     for j, d in enumerate(order):
         grid[: sizes[d], j] = scores[d]
     stay = np.zeros((longest, len(order), k), bool)
-    top = np.zeros((longest, len(order)), np.int8)
+    top = np.zeros((longest, len(order)), np.int32)
     best = grid[0].astype(np.float64)
     for t in range(1, longest):
         n = counts[t]
@@ -214,7 +213,7 @@ def viterbi(scores: list[np.ndarray], switch: float) -> list[np.ndarray]:
         stay[t, :n], top[t, :n] = same, at
         best[:n] = np.where(same, now, jump) + grid[t, :n]
     label = best.argmax(1)
-    labels = np.zeros((longest, len(order)), np.int8)
+    labels = np.zeros((longest, len(order)), np.int32)
     for t in range(longest - 1, -1, -1):
         n = counts[t]
         labels[t, :n] = label[:n]
@@ -233,10 +232,10 @@ def label(texts: list[str | None], model: Model, switch: float = SWITCH, known:
     letters = [known.letters[n] for n in numbers]
     scores = [known.scores[n] for n in numbers]
     k = len(model.languages)
-    labels: list[np.ndarray] = [np.zeros(0, np.int8)] * len(texts)
+    labels: list[np.ndarray] = [np.zeros(0, np.int32)] * len(texts)
     todo = sorted(range(len(texts)), key=lambda d: -len(words[d])) if k else []
     while todo:
-        n = max(1, _BATCH_CELLS // max(1, len(words[todo[0]])))
+        n = max(1, 4 * _BATCH_CELLS // max(1, k * len(words[todo[0]])))
         part, todo = todo[:n], todo[n:]
         for d, x in zip(part, viterbi([scores[d] for d in part], switch)):
             labels[d] = x
@@ -254,13 +253,16 @@ def label(texts: list[str | None], model: Model, switch: float = SWITCH, known:
     return out
 
 
-def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample_docs: int = SAMPLE_DOCS, top_grams: int = TOP_GRAMS) -> Model:
-    """A model from at most sample_docs labelled texts a language, chosen by a hash of the id."""
+def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample_docs: int = SAMPLE_DOCS, top_grams: int = TOP_GRAMS, max_languages: int = MAX_LANGUAGES) -> Model:
+    """A model from about sample_docs different labelled texts a language, chosen by a hash, for the max_languages commonest languages."""
     spark = docs.sparkSession
     rows = docs.select(F.col(id_col).cast("string").alias("id"), F.col(lang_col).cast("string").alias("lang"), F.col(text_col).alias("text")).where("lang is not null and text is not null")
-    place = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("id"), "id"))
-    chosen = rows.select("id", "lang").withColumn("n", place).where(F.col("n") <= sample_docs).select("id", "lang").distinct()
-    sample = rows.join(F.broadcast(chosen), ["id", "lang"], "left_semi")  # sample_docs ids a language
+    counts = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(max_languages).collect()
+    share = spark.createDataFrame([(r["lang"], min(1.0, sample_docs / r["n"])) for r in counts], "lang string, share double")  # max_languages rows
+    # A share of the range of a hash, so no text moves to be chosen; equal rows are chosen together, and then count as one.
+    key = F.xxhash64("id", "text")
+    chosen = rows.withColumn("key", key).join(F.broadcast(share), "lang").where(F.pmod("key", F.lit(1 << 40)) < F.col("share") * (1 << 40))
+    sample = chosen.groupBy("lang", "id", "key").agg(F.first("text").alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -278,7 +280,9 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
             yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in found], pa.string()), pa.array([k[1] for k in found], pa.string()), pa.array(list(found.values()), pa.int64())], names=["lang", "gram", "n"])
 
     counts = sample.select("lang", "text").mapInArrow(run, "lang string, gram string, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
-    best = counts.withColumn("at", F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "gram"))).where(F.col("at") <= top_grams)
+    # Counts of scripts, whose names begin with a number sign, aren't n-grams and are all kept.
+    place = F.row_number().over(Window.partitionBy("lang", F.col("gram").startswith("#")).orderBy(F.desc("n"), "gram"))
+    best = counts.withColumn("at", place).where((F.col("at") <= top_grams) | F.col("gram").startswith("#"))
     got, scripts = {}, {}
     for lang, gram, n in best.select("lang", "gram", "n").collect():
         (scripts if gram.startswith("#") else got).setdefault(lang, {})[gram[1:] if gram.startswith("#") else gram] = n

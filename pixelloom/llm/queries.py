@@ -109,7 +109,7 @@ def op4_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = C.read(spark, sf_dir, "documents")
     model = language.train(docs.where(C.crc_mod(F.col("doc_id"), 4) != 2))
     out = language.predict(docs, model)
-    return out.select(F.col("id").alias("doc_id"), (C.crc_mod(F.col("id"), 4) == 2).alias("held_out"), "lang_pred", "score")
+    return out.select(F.col("id").alias("doc_id"), (C.crc_mod(F.col("id"), 4) == 2).alias("held_out"), "lang_pred", "score", "spans")
 
 
 def op5_repetition(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -52,6 +52,32 @@ def test_held_out_and_spans(spark):
     assert got[None].lang_pred == "ga" and [(s.lang) for s in spans] == ["ga", "gb"] and abs(spans[0].end - 30) <= 1
 
 
+def test_words_without_letters(spark):
+    model = G.Model({"aa": {"^h": 5}, "bb": {"^k": 5}}, {"aa": {"latin": 9}, "bb": {"latin": 9}})
+    for text in ("½ ² 12", "## $ 5#", "_ - 1", "①", ""):
+        assert G.label([text], model)[0] == ("und", 0.0, [])
+    assert G.label(["#h5 h"], model)[0][0] == "aa"
+
+
+def test_more_languages_than_a_byte_holds(spark):
+    rng = random.Random(7)
+    langs = [f"l{k:03d}" for k in range(150)]
+    words = {x: ["".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(7)) for _ in range(12)] for x in langs}
+    rows = [(i, " ".join(rng.choices(words[x], k=20)), x) for i, x in enumerate(langs * 3)]
+    model = G.train(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    test = spark.createDataFrame([(i, " ".join(rng.choices(words[x], k=15))) for i, x in enumerate(langs)], "doc_id long, text string")
+    got = {r.id: r.lang_pred for r in G.predict(test, model).collect()}
+    assert model.languages == langs and [got[i] for i in range(150)] == langs
+
+
+def test_the_sample_is_bounded_when_ids_repeat(spark):
+    rng = random.Random(8)
+    rows = [(5, "hot row of one id", "ga")] * 400 + [(5, sentence(rng, "ga", 5) + f" n{i}", "ga") for i in range(400)] + [(i, sentence(rng, "gb", 8), "gb") for i in range(300)]
+    found = G.train(spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(4), sample_docs=40, top_grams=50)
+    again = G.train(spark.createDataFrame(rows[::-1], "doc_id long, text string, lang string").repartition(2), sample_docs=40, top_grams=50)
+    assert found.languages == ["ga", "gb"] and (found.weights == again.weights).all()
+
+
 def test_no_labels(spark):
     empty = spark.createDataFrame([], "doc_id long, text string, lang string")
     model = G.train(empty)
