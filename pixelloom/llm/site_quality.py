@@ -5,8 +5,8 @@ paths within hosts, get posterior means of that evidence: a path is shrunk
 toward its host and a host toward the whole, the more the fewer documents it
 has, with a strength that the spread between the groups sets. The document's
 posterior is its own log-odds plus those of its path without it, relative to
-the whole, within max_shift; so a site moves doubtful texts and can't overrule
-clear ones.
+the whole. How far a site moves its texts is up to the data: sites that hardly
+differ beyond chance are shrunk to the whole and move nothing.
 
 Scale: training reads a bounded sample (sample_docs labelled texts, by a hash of
 the id); evidence is one pass; hosts and paths are sums that are added up
@@ -14,7 +14,8 @@ before the shuffle, whatever share of the rows one host has.
 
 Cases: null and empty texts have the evidence of empty ones; a null host or
 path is a group of its own; without labels of both classes the evidence is one
-half; repeated rows count as often as they occur; a null id stays null; other
+half; repeated rows count as often as they occur, but of several training texts
+of one id one trains; of posteriors of exactly keep_from the text is kept; a null id stays null; other
 columns are ignored; an empty table gives an empty result.
 """
 
@@ -32,7 +33,7 @@ from pyspark.sql import functions as F
 from . import common as C
 
 SAMPLE_DOCS = 4000
-MAX_SHIFT, KEEP_FROM = 1.0, 0.5
+KEEP_FROM = 0.5
 _UPPER = re.compile(r"[A-ZÀ-ÖØ-Þ]{2}")
 
 
@@ -75,7 +76,10 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     own = labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("label")).where("id is not null and label is not null").groupBy("id").agg(F.max("label").alias("label"))
     picked = [own.where(F.col("label") == y).orderBy(F.xxhash64("id"), "id").limit(sample_docs) for y in (0, 1)]
     chosen = picked[0].unionByName(picked[1])
-    sample = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(chosen), "id").select("label", "text")  # 2 * sample_docs rows
+    # Of several texts of an id the one with the smallest hash, so that the sample has 2 * sample_docs rows at most.
+    text = F.struct(F.xxhash64("text").alias("key"), "text")
+    found = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(chosen), "id").select("id", "label", text.alias("text"))
+    sample = found.groupBy("id", "label").agg(F.min("text").alias("text")).select("label", "text.text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -112,20 +116,21 @@ def _strength(groups: DataFrame) -> float:
     return float(min(10000.0, max(1.0, within / max(between, 1e-9))))
 
 
-def classify(docs: DataFrame, weights: np.ndarray, host: Column, path: Column, id_col: str = "doc_id", text_col: str = "text", row_col: str | None = None, max_shift: float = MAX_SHIFT, keep_from: float = KEEP_FROM) -> DataFrame:
+def classify(docs: DataFrame, weights: np.ndarray, host: Column, path: Column, id_col: str = "doc_id", text_col: str = "text", row_col: str | None = None, keep_from: float = KEEP_FROM) -> DataFrame:
     """One row per row of docs: row, id, evidence, host_mean, path_mean, posterior, kept."""
     rows, _ = C.cut(evidence(docs, weights, host, path, id_col, text_col, row_col), "evidence")
-    paths, _ = C.cut(rows.groupBy("host", "path").agg(F.sum("p").alias("s"), F.count(F.lit(1)).alias("n"), F.sum(F.col("p") * F.col("p")).alias("q")), "paths")
-    hosts, _ = C.cut(paths.groupBy("host").agg(F.sum("s").alias("s"), F.sum("n").alias("n"), F.sum("q").alias("q")), "hosts")
+    paths, p1 = C.cut(rows.groupBy("host", "path").agg(F.sum("p").alias("s"), F.count(F.lit(1)).alias("n"), F.sum(F.col("p") * F.col("p")).alias("q")), "paths")
+    hosts, p2 = C.cut(paths.groupBy("host").agg(F.sum("s").alias("s"), F.sum("n").alias("n"), F.sum("q").alias("q")), "hosts")
     whole = hosts.agg(F.sum("s").alias("s"), F.sum("n").alias("n")).first()
     mu = (whole["s"] + 1) / (whole["n"] + 2) if whole["n"] else 0.5
     k_host, k_path = _strength(hosts), _strength(paths)
     host_means = hosts.select("host", ((F.col("s") + k_host * mu) / (F.col("n") + k_host)).alias("host_mean"))
-    sites = paths.join(host_means, "host").select("host", "path", "s", "n", "host_mean")
+    sites, _ = C.cut(paths.join(host_means, "host").select("host", "path", "s", "n", "host_mean"), "sites")
+    C.drop(docs.sparkSession, p1, p2)
     # The document's own evidence is taken out of its path.
     own = ((F.col("s") - F.col("p") + k_path * F.col("host_mean")) / (F.col("n") - 1 + k_path)).alias("path_mean")
     joined = rows.join(sites, ["host", "path"]).select("row", "id", "p", "host_mean", own)
     logit = lambda c: F.log(F.greatest(c, F.lit(1e-6)) / F.greatest(1 - c, F.lit(1e-6)))
-    shift = F.greatest(F.lit(-max_shift), F.least(F.lit(max_shift), logit(F.col("path_mean")) - math.log(mu / (1 - mu))))
+    shift = logit(F.col("path_mean")) - math.log(mu / (1 - mu))
     posterior = 1 / (1 + F.exp(-(logit(F.col("p")) + shift)))
     return joined.select("row", "id", F.col("p").alias("evidence"), "host_mean", "path_mean", posterior.alias("posterior"), (posterior >= keep_from).alias("kept"))

@@ -4,16 +4,19 @@ Only documents have labels; a document is toxic if any of its sentences is. A
 sentence's probability is a logistic function of the words and word starts it
 holds, and the document's is their noisy-or, 1 - prod(1 - p). The gradient of
 the documents' likelihood trains the weights, so the sentences that explain
-the labels get high scores, and are returned as the offending ones.
+the labels get high scores, and are returned as the offending ones. Whether
+classes weigh alike, and which weak weights are dropped, is chosen by folds of
+the training rows.
 
 Scale: training reads a bounded sample (toxic_docs and clean_docs labelled
 texts, by a hash of the id); features are counted with grouped sums and the
-top_features best are kept. Scoring is one pass without a shuffle; a text's
+top_features best are kept, which bounds what the driver gets. Scoring is one pass without a shuffle; a text's
 sentences are looked at only if one of its words has a weight.
 
 Cases: null and empty texts, and those without a known word, score 0; equal
 texts score alike; if the labels hold one class only, all texts score 0; rows
-with a null label or id don't train; a null id stays null; other columns are
+with a null label or id don't train; of several training texts of one id one
+trains; a text of any length is read a sentence at a time; a null id stays null; other columns are
 ignored; an empty table gives an empty result.
 """
 
@@ -28,6 +31,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import common as C
+
 TOXIC_DOCS, CLEAN_DOCS, TOP_FEATURES = 2000, 4000, 1000
 _SENTENCE = re.compile(r"[^.!?\n]+[.!?]*")
 _WORD = re.compile(r"[^\s.!?]+")
@@ -77,32 +82,82 @@ class Model:
         return float(1 - none), found
 
 
-def fit(bags: list[tuple[int, list[list[int]]]], names: list[str], steps: int = 300, rate: float = 0.1, shrink: float = 1e-3, least_weight: float = 0.2) -> Model:
-    """Weights from bags (label, sentences as lists of feature numbers) by Adam on the noisy-or likelihood.
+class Bags:
+    """Labelled documents as sentences of feature numbers, in flat arrays."""
 
-    Features of less than least_weight of the largest one are dropped: many weak ones would add up over a long clean text.
-    """
-    label = np.array([y for y, _ in bags], float)
-    bag = np.array([b for b, (_, s) in enumerate(bags) for _ in s], np.int64)
-    flat = [s for _, ss in bags for s in ss]
-    if not len(flat) or label.min() == label.max():
-        return Model({}, 0.0)
-    which = np.array([i for i, s in enumerate(flat) for _ in s], np.int64)
-    feature = np.array([f for s in flat for f in s], np.int64)
-    x = np.r_[np.full(len(names), 0.5), -1.5]
-    m, v = np.zeros_like(x), np.zeros_like(x)
-    balance = np.where(label == 1, 0.5 / label.mean(), 0.5 / (1 - label.mean()))
-    for t in range(1, steps + 1):
-        z = np.clip(x[-1] + np.bincount(which, x[feature], len(flat)), -30, 30)
+    def __init__(self, bags: list[tuple[int, list[list[int]]]]):
+        self.label = np.array([y for y, _ in bags], float)
+        flat = [s for _, ss in bags for s in ss]
+        self.bag = np.array([b for b, (_, s) in enumerate(bags) for _ in s], np.int64)
+        self.which = np.array([i for i, s in enumerate(flat) for _ in s], np.int64)
+        self.feature = np.array([f for s in flat for f in s], np.int64)
+
+    def none(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The probability of each sentence, and of each document the logarithm of the chance that none offends; x ends with the bias."""
+        z = np.clip(x[-1] + np.bincount(self.which, x[self.feature], len(self.bag)), -30, 30)
         p = 1 / (1 + np.exp(-z))
-        none = np.bincount(bag, np.log1p(-np.minimum(p, 1 - 1e-9)), len(bags))  # log of no offending sentence
-        slope = np.where(label == 1, -np.exp(none) / np.maximum(-np.expm1(none), 1e-6), 1.0) * balance
-        dz = slope[bag] * p
-        grad = np.r_[np.bincount(feature, dz[which], len(names)), dz.sum()] / len(bags)
+        return p, np.bincount(self.bag, np.log1p(-np.minimum(p, 1 - 1e-9)), len(self.label))
+
+    def loss(self, x: np.ndarray, weight: np.ndarray, shrink: float) -> tuple[float, np.ndarray]:
+        """The mean negative log-likelihood of the labels under the noisy-or, with a ridge, and its gradient."""
+        p, none = self.none(x)
+        some = np.maximum(-np.expm1(none), 1e-6)
+        value = -(weight * np.where(self.label == 1, np.log(some), none)).sum() / len(self.label) + shrink / 2 * (x[:-1] ** 2).sum()
+        slope = np.where(self.label == 1, -np.exp(none) / some, 1.0) * weight
+        dz = slope[self.bag] * p
+        grad = np.r_[np.bincount(self.feature, dz[self.which], len(x) - 1), dz.sum()] / len(self.label)
         grad[:-1] += shrink * x[:-1]
+        return float(value), grad
+
+
+def _minimum(bags: Bags, n: int, balanced: bool, steps: int, rate: float, shrink: float) -> np.ndarray:
+    """Weights and bias by Adam."""
+    x = np.r_[np.full(n, 0.5), -1.5]
+    m, v = np.zeros_like(x), np.zeros_like(x)
+    share = bags.label.mean()
+    weight = np.where(bags.label == 1, 0.5 / share, 0.5 / (1 - share)) if balanced else np.ones(len(bags.label))
+    for t in range(1, steps + 1):
+        _, grad = bags.loss(x, weight, shrink)
         m, v = 0.9 * m + 0.1 * grad, 0.999 * v + 0.001 * grad**2
         x -= rate * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
-    return Model({n: float(w) for n, w in zip(names, x) if w > least_weight * x[:-1].max()}, float(x[-1]))
+    return x
+
+
+def _without_weak(x: np.ndarray, least_weight: float) -> np.ndarray:
+    """Weights of less than least_weight of the largest one set to zero: many weak ones would add up over a long clean text."""
+    return np.r_[np.where(x[:-1] > least_weight * max(0.0, x[:-1].max(initial=0.0)), x[:-1], 0.0), x[-1]]
+
+
+#: Whether classes weigh alike, and the least weight that is kept; folds of the training rows choose between them.
+CHOICES = [(balanced, least) for balanced in (False, True) for least in (0.0, 0.1, 0.2, 0.3)]
+
+
+def choose(bags: list[tuple[int, list[list[int]]]], n: int, folds: int = 3, steps: int = 300, rate: float = 0.1, shrink: float = 1e-3) -> tuple[bool, float]:
+    """The choice with the best F1 on folds of bags that it wasn't trained on; the first of equals."""
+    hits = {c: np.zeros(3) for c in CHOICES}  # true, predicted, both
+    for k in range(folds):
+        rest, own = Bags([b for i, b in enumerate(bags) if i % folds != k]), Bags(bags[k::folds])
+        if not len(rest.bag) or not len(own.label) or rest.label.min() == rest.label.max():
+            continue
+        for balanced in (False, True):
+            x = _minimum(rest, n, balanced, steps, rate, shrink)
+            for least in dict.fromkeys(c[1] for c in CHOICES):
+                kept = _without_weak(x, least)
+                known = np.bincount(own.which, kept[own.feature] != 0, len(own.bag)) > 0  # a sentence without a known feature isn't looked at
+                p, _ = own.none(kept)
+                told = -np.expm1(np.bincount(own.bag[known], np.log1p(-np.minimum(p[known], 1 - 1e-9)), len(own.label))) >= 0.5
+                hits[balanced, least] += [own.label.sum(), told.sum(), (told & (own.label == 1)).sum()]
+    return max(CHOICES, key=lambda c: 2 * hits[c][2] / max(1.0, hits[c][0] + hits[c][1]))
+
+
+def fit(bags: list[tuple[int, list[list[int]]]], names: list[str], steps: int = 300, rate: float = 0.1, shrink: float = 1e-3, choice: tuple[bool, float] | None = None) -> Model:
+    """Weights from bags (label, sentences as lists of feature numbers); unless given, the choice is made by folds of them."""
+    all_ = Bags(bags)
+    if not len(all_.bag) or all_.label.min() == all_.label.max():
+        return Model({}, 0.0)
+    balanced, least = choice or choose(bags, len(names), steps=steps, rate=rate, shrink=shrink)
+    x = _without_weak(_minimum(all_, len(names), balanced, steps, rate, shrink), least)
+    return Model({n: float(w) for n, w in zip(names, x) if w > 0}, float(x[-1]))
 
 
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", toxic_docs: int = TOXIC_DOCS, clean_docs: int = CLEAN_DOCS, top_features: int = TOP_FEATURES, least_share: float = 0.01, least_lift: float = 2.0) -> Model:
@@ -114,7 +169,10 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     own = labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("label")).where("id is not null and label is not null").groupBy("id").agg(F.max("label").alias("label"))
     picked = [own.where(F.col("label") == y).orderBy(F.xxhash64("id"), "id").limit(n) for y, n in ((1, toxic_docs), (0, clean_docs))]
     chosen = picked[0].unionByName(picked[1])
-    sample = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).where("text is not null").join(F.broadcast(chosen), "id").select("label", "text").cache()  # toxic_docs + clean_docs rows
+    # Of several texts of an id the one with the smallest hash, so that the sample has toxic_docs + clean_docs rows at most.
+    text = F.struct(F.xxhash64("text").alias("key"), "text")
+    found = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).where("text is not null").join(F.broadcast(chosen), "id").select("id", "label", text.alias("text"))
+    sample, path = C.cut(found.groupBy("id", "label").agg(F.min("text").alias("text")).select("label", "text.text"), "toxicity-sample")
 
     def tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found: Counter = Counter()
@@ -126,6 +184,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 
     size = {r["label"]: r["count"] for r in sample.groupBy("label").count().collect()}
     if len(size) < 2:
+        C.drop(docs.sparkSession, path)
         return Model({}, 0.0)
     by = sample.mapInArrow(tally, "feature string, label int, n long").groupBy("feature").agg(F.sum(F.when(F.col("label") == 1, F.col("n")).otherwise(0)).alias("bad"), F.sum(F.when(F.col("label") == 0, F.col("n")).otherwise(0)).alias("good"))
     lift = F.log((F.col("bad") + 0.5) / (size[1] + 1)) - F.log((F.col("good") + 0.5) / (size[0] + 1))
@@ -142,7 +201,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
             yield pa.RecordBatch.from_arrays([pa.array(ys, pa.int32()), pa.array(out, pa.list_(pa.list_(pa.int32())))], names=["label", "sentences"])
 
     rows = sample.mapInArrow(bags, "label int, sentences array<array<int>>").collect()  # toxic_docs + clean_docs rows, without their texts
-    sample.unpersist()
+    C.drop(docs.sparkSession, path)
     return fit(sorted((r["label"], r["sentences"]) for r in rows), names)
 
 

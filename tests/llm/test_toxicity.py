@@ -1,4 +1,7 @@
 import random
+import re
+
+import numpy as np
 
 from pixelloom.llm import toxicity as X
 
@@ -45,3 +48,52 @@ def test_one_class_only(spark):
     model = X.train(docs, spark.createDataFrame([(1, 0), (2, 0)], "doc_id long, toxic int"))
     assert [r.score for r in X.score(docs, model).collect()] == [0, 0]
     assert X.score(docs.limit(0), model).count() == 0
+
+
+def slow_score(text, weights, bias):
+    """The noisy-or, sentence by sentence and letter by letter."""
+    none, spans, at = 1.0, [], 0
+    for part in re.findall(r"[^.!?\n]+|[.!?\n]", text or ""):
+        known = set()
+        for word in part.split():
+            w = "".join(c for c in word if c.isalpha()).lower()
+            known |= {f"={w}", *(f"^{w[:k]}" for k in (4, 5, 6) if len(w) >= k)} & weights.keys()
+        if known:
+            p = 1 / (1 + np.exp(-(bias + sum(weights[f] for f in known))))
+            none *= 1 - p
+            spans.append((text[at : at + len(part)].strip(), p))
+        at += len(part)
+    return 1 - none, spans
+
+
+def test_scores_equal_brute_force():
+    rng = random.Random(11)
+    words = ["bad", "badly", "Worse!", "worst", "fine", "a.b", "x-y", "ÉTÉ", "12", "wor5se", "ok?", "no\n", "..."]
+    m = X.Model({"=bad": 1.5, "^badl": 0.7, "^wors": 0.9, "=été": 2.0, "=ok": 0.1, "=b": 0.4}, -1.2)
+    for _ in range(300):
+        text = " ".join(rng.choice(words) for _ in range(rng.randrange(0, 25)))
+        p, spans = m.score(text, {})
+        want, parts = slow_score(text, m.weights, m.bias)
+        assert abs(p - want) < 1e-12 and [(text[a:b].strip(".!? \n"), round(q, 9)) for a, b, q in spans] == [(t, round(float(q), 9)) for t, q in parts], text
+
+
+def test_gradient_is_that_of_the_likelihood():
+    rng = np.random.default_rng(1)
+    bags = X.Bags([(int(rng.random() < 0.4), [sorted(rng.choice(6, rng.integers(1, 4), replace=False).tolist()) for _ in range(rng.integers(0, 4))]) for _ in range(40)])
+    x, weight = rng.normal(0, 1, 7), rng.random(40) + 0.5
+    plain = 0.0
+    for b in range(40):
+        none = np.prod([1 - 1 / (1 + np.exp(-(x[-1] + sum(x[f] for f in bags.feature[bags.which == i])))) for i in np.flatnonzero(bags.bag == b)])
+        plain -= weight[b] * np.log(max(1 - none, 1e-6) if bags.label[b] else none) / 40
+    value, grad = bags.loss(x, weight, 0.01)
+    assert abs(value - plain - 0.005 * (x[:-1] ** 2).sum()) < 1e-9
+    for k in range(7):
+        step = np.eye(7)[k] * 1e-6
+        assert abs((bags.loss(x + step, weight, 0.01)[0] - bags.loss(x - step, weight, 0.01)[0]) / 2e-6 - grad[k]) < 1e-5
+
+
+def test_one_text_of_an_id_trains(spark):
+    docs = spark.createDataFrame([(1, f"hot zzuugh {i}") for i in range(500)] + [(k, "quite plain words") for k in range(2, 9)] + [(k, "zzuugh again") for k in range(10, 16)], "doc_id long, text string")
+    labels = spark.createDataFrame([(k, int(k in (1, *range(10, 16)))) for k in range(1, 16)], "doc_id long, toxic int")
+    a, b = X.train(docs, labels), X.train(docs.repartition(3), labels)
+    assert a.weights == b.weights and "=zzuugh" in a.weights
