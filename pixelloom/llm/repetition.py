@@ -94,23 +94,35 @@ def common_prefixes(order: np.ndarray, levels: list[np.ndarray]) -> np.ndarray:
     return out
 
 
+def repeat_intervals(prefix: np.ndarray, least: int = WINDOW) -> list[tuple[int, int, int, list[int]]]:
+    """(length, left, right, own) of each interval left..right-1 of the suffix array whose suffixes have `least` or more words in common.
+
+    own are the places in it that stand in no interval of a longer prefix. Inner intervals come first.
+    """
+    hits = np.flatnonzero(prefix >= least)
+    out: list[tuple[int, int, int, list[int]]] = []
+    for run in np.split(hits, np.flatnonzero(np.diff(hits) > 1) + 1) if len(hits) else ():
+        stack: list[tuple[int, int, list[int]]] = []
+        for i, length in enumerate([*prefix[run].tolist(), 0], int(run[0])):
+            placed, left = bool(stack) and stack[-1][0] >= length, i - 1
+            if placed:
+                stack[-1][2].append(i - 1)
+            while stack and stack[-1][0] > length:
+                l, left, own = stack.pop()
+                out.append((l, left, i, own))
+            if length and (not stack or stack[-1][0] < length):
+                stack.append((length, left, [] if placed else [i - 1]))
+    return out
+
+
 def maximal_repeats(words: list[bytes], least: int = WINDOW) -> list[tuple[int, list[int]]]:
     """(length, starts) of each repeated substring of at least `least` words that no longer one with as many starts extends to the right."""
     _, _, levels = suffix_ranks([words])
     if not levels:
         return []
     order = np.argsort(levels[-1], kind="stable")
-    prefix = common_prefixes(order, levels).tolist()
-    found, stack = [], []  # the stack holds (length, left end) of open intervals
-    for i, length in enumerate([*prefix[1:], 0], 1):
-        left = i - 1
-        while stack and stack[-1][0] > length:
-            l, left = stack.pop()
-            if l >= least:
-                found.append((l, sorted(order[left:i].tolist())))
-        if not stack or stack[-1][0] < length:
-            stack.append((length, left))
-    return sorted(found, key=lambda r: (-r[0], r[1]))
+    found = repeat_intervals(common_prefixes(order, levels), least)
+    return sorted(((l, sorted(order[a:b].tolist())) for l, a, b, _ in found), key=lambda r: (-r[0], r[1]))
 
 
 def _union(n: int, at: np.ndarray, length: np.ndarray | int) -> np.ndarray:
@@ -128,15 +140,16 @@ def repetition(words: list[list[bytes]], window: int = WINDOW) -> tuple[np.ndarr
         return none.astype(np.int64), none, none.astype(np.int64)
     order = np.argsort(levels[-1], kind="stable")
     prefix = common_prefixes(order, levels)
-    longest = np.empty(len(order), np.int64)
-    longest[order] = np.maximum(prefix, np.r_[prefix[1:], 0])
-    hits = np.flatnonzero(longest >= window)
-    covered = _union(len(order), hits, longest[hits])
+    # Each suffix is in the span of the longest repeat that begins with it.
+    repeats = repeat_intervals(prefix, window)
+    hits = order[np.array([i for *_, own in repeats for i in own], np.int64)]
+    length = np.repeat(np.array([r[0] for r in repeats], np.int64), [len(r[3]) for r in repeats])
+    covered = _union(len(order), hits, length)
     letters = np.array([len(w) - sum(1 for c in w if c & 0xC0 == 0x80) if not w.isascii() else len(w) for t in words for w in t], np.int64)
     sums = [np.r_[0, np.cumsum(x)] for x in (covered, letters * covered, letters)]
     per = [s[starts[1:]] - s[starts[:-1]] for s in sums]
     most = np.zeros(len(words), np.int64)
-    np.maximum.at(most, np.searchsorted(starts, hits, "right") - 1, longest[hits])
+    np.maximum.at(most, np.searchsorted(starts, hits, "right") - 1, length)
     return per[0], per[1] / np.maximum(per[2], 1), most
 
 
