@@ -191,8 +191,10 @@ def hist_density_by_label(spark, sf_dir):
 
 @query("box_summary_by_label", f"WITH {_LONG} SELECT metric, y, {_r('min(v)', 'lo')}, {_r('quantile_cont(v, 0.25)', 'q1')}, {_r('median(v)', 'mid')}, {_r('quantile_cont(v, 0.75)', 'q3')}, {_r('max(v)', 'hi')}, {_r('quantile_cont(v, 0.75) - quantile_cont(v, 0.25)', 'iqr')}, {_r('stddev_samp(v)', 'std')} FROM lo GROUP BY metric, y")
 def box_summary_by_label(spark, sf_dir):
-    q = lambda p: F.expr(f"percentile(v, {p})")
-    return metrics(spark, sf_dir).groupBy("metric", "y").agg(R(F.min("v")).alias("lo"), R(q(0.25)).alias("q1"), R(q(0.5)).alias("mid"), R(q(0.75)).alias("q3"), R(F.max("v")).alias("hi"), R(q(0.75) - q(0.25)).alias("iqr"), R(F.stddev_samp("v")).alias("std"))
+    long = metrics(spark, sf_dir)
+    ends = long.groupBy("metric", "y").agg(R(F.min("v")).alias("lo"), R(F.max("v")).alias("hi"), R(F.stddev_samp("v")).alias("std"))
+    q = S.percentiles(long, ["metric", "y"], "v", {"q1": 0.25, "mid": 0.5, "q3": 0.75})
+    return ends.join(q, ["metric", "y"]).select("metric", "y", "lo", R(F.col("q1")).alias("q1"), R(F.col("mid")).alias("mid"), R(F.col("q3")).alias("q3"), "hi", R(F.col("q3") - F.col("q1")).alias("iqr"), "std")
 
 
 @query("kde_by_label", f"""WITH {_LONG}, s AS (SELECT metric, y, stddev_samp(v) * pow(count(*), -0.2) AS h, count(*) AS n FROM lo GROUP BY metric, y)
@@ -223,7 +225,7 @@ def stratified_folds(spark, sf_dir):
 
 @query("train_test_split", f"WITH {_SC}, t AS (SELECT id, y, {_TURN} AS turn, count(*) OVER (PARTITION BY y) AS n FROM sc) SELECT y, turn < floor(0.8 * n) AS train, count(*) AS n FROM t GROUP BY ALL")
 def train_test_split(spark, sf_dir):
-    t = S.stratified(scores(spark, sf_dir).select("id", "y"), "y", "id", SEED).withColumn("size", F.count(F.lit(1)).over(Window.partitionBy("y")))
+    t = S.stratified(scores(spark, sf_dir).select("id", "y"), "y", "id", SEED)
     return t.groupBy("y", (F.col("turn") < F.floor(0.8 * F.col("size"))).alias("train")).agg(F.count(F.lit(1)).alias("n"))
 
 

@@ -125,8 +125,9 @@ round(quantile_cont(v, 0.95), 6) + 0.0 AS p95, round(quantile_cont(v, 0.75) - qu
 def event_moments(spark, sf_dir):
     q = _t(spark, sf_dir, "events").select("event_type", F.col("value").cast("double").alias("v"))
     m = S.moments("v")
-    p = lambda x: F.expr(f"percentile(v, {x})")
-    return q.groupBy("event_type").agg(R(m["mean"]).alias("mean"), R(m["std"]).alias("std"), R(m["skew"]).alias("skew"), R(m["kurt"]).alias("kurt"), R(p(0.95)).alias("p95"), R(p(0.75) - p(0.25)).alias("iqr"), R(m["std"] / (F.abs(m["mean"]) + 1e-10)).alias("cv"))
+    rest = q.groupBy("event_type").agg(R(m["mean"]).alias("mean"), R(m["std"]).alias("std"), R(m["skew"]).alias("skew"), R(m["kurt"]).alias("kurt"), R(m["std"] / (F.abs(m["mean"]) + 1e-10)).alias("cv"))
+    p = S.percentiles(q, ["event_type"], "v", {"a": 0.25, "b": 0.75, "p95": 0.95})
+    return rest.join(p.select("event_type", R(F.col("p95")).alias("p95"), R(F.col("b") - F.col("a")).alias("iqr")), "event_type")
 
 
 @query("price_tiles", """WITH t AS (SELECT l_orderkey % 1000 AS ty, l_linenumber AS tx, CAST(l_extendedprice AS DOUBLE) AS v FROM lineitem) SELECT CAST(ty AS BIGINT) AS ty, count(*) AS n, round(avg(v), 6) + 0.0 AS mean, round(var_pop(v) / 1e6, 6) + 0.0 AS var, round(max(v), 4) + 0.0 AS top FROM t GROUP BY ty""")
