@@ -47,6 +47,36 @@ def combination_sizes(images: DataFrame, modules: list[str] | None = None) -> di
     return {"+".join(s): sum(size[m] for m in s) for s in module_sets(modules)}
 
 
+def combinations(images: DataFrame, modules: list[str] | None = None) -> dict[str, DataFrame]:
+    """The features of each single module and each pair of modules, by name ("a", "a+b"); a pair joins what its modules give alone.
+
+    Tables are lazy. To run several without computing a module twice, write the single ones and pass those read back to pair().
+    """
+    single = {m: MODULES[m](images) for m in enabled(modules)}
+    return {"+".join(s): pair(*(single[m] for m in s)) for s in module_sets(modules)}
+
+
+def pair(*parts: DataFrame) -> DataFrame:
+    """Feature tables joined by img_id."""
+    return reduce(lambda a, b: a.join(b, "img_id"), parts)
+
+
+def run_combinations(images: DataFrame, path: str, modules: list[str] | None = None) -> dict[str, dict]:
+    """Every module's table, written to path once, and from these the features of all modules and pairs.
+
+    single_modules and module_pairs hold tables by name, summary their numbers and counts of features.
+    """
+    spark = images.sparkSession
+    single = {}
+    for m in enabled(modules):
+        MODULES[m](images).write.mode("overwrite").parquet(f"{path}/{m}")
+        single[m] = spark.read.parquet(f"{path}/{m}")
+    pairs = {"+".join(s): pair(*(single[m] for m in s)) for s in module_sets(modules) if len(s) == 2}
+    count = lambda tables: {k: len(t.columns) - 1 for k, t in tables.items()}
+    summary = {"total_single_modules": len(single), "total_module_pairs": len(pairs), "single_module_feature_counts": count(single), "pair_feature_counts": count(pairs)}
+    return {"single_modules": single, "module_pairs": pairs, "summary": summary}
+
+
 def infer_pair(rows: DataFrame, ae: Trained, dc: Trained, key: str = "img_id", label: str | None = None) -> DataFrame:
     """key, model, num and origin (and match, if there is a label) of the surer of two models that read the same features."""
     scored = dc.score(ae.score(rows, "p_ae").drop("origin"), "p_dc").drop("origin")

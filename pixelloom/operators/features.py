@@ -305,14 +305,22 @@ def texture_complexity(a: np.ndarray, size: int = 16) -> float:
 
 
 def residual_pairs(gray: np.ndarray, only: tuple[str, ...] | None = None) -> dict[str, float | list[int]]:
-    """image_mean_ff, image_std, and pairs of whole numbers by residual: half and whole sum of pattern mean and total, and complexity twice."""
-    planes = {"image": gray, "diff": K.difference_of_gaussians(gray, 1.5), "laplace": K.laplace(gray), "sobel": np.hypot(*(K.sobel(gray, a) / 4 for a in (0, 1))) / np.sqrt(1)}
+    """image_mean_ff, image_std, and pairs of whole numbers by residual: half and whole sum of pattern mean and total, and complexity twice.
+
+    only: residuals among image, diff, laplace, sobel and spectral; any other name is a ValueError.
+    """
+    make = {"image": lambda: gray, "diff": lambda: K.difference_of_gaussians(gray, 1.5), "laplace": lambda: K.laplace(gray), "sobel": lambda: np.hypot(*(K.sobel(gray, a) / 4 for a in (0, 1))), "spectral": lambda: gray}
+    if unknown := set(only or ()) - set(make):
+        raise ValueError(f"no residuals {sorted(unknown)}; there are {list(make)}")
+    planes = {name: f() for name, f in make.items() if only is None or name in only}
     out: dict[str, float | list[int]] = {"image_mean_ff": float(gray.mean()), "image_std": float(gray.std())}
     for name, a in planes.items():
+        if name == "spectral":
+            continue
         codes = K.lbp(_u8(a), 24, 3, uniform=False)
         both = codes.mean() + codes.sum()
         out[f"{name}_mean"] = [int(both / 2), int(both)]
-    for name, a in (planes | {"spectral": gray}).items():
+    for name, a in planes.items():
         c = int(texture_complexity(a))
         out[f"{name}_tc"] = [c, c]
     return out

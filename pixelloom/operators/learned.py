@@ -26,10 +26,15 @@ def register(name: str, make: Callable[[], Backend]) -> None:
     _BACKENDS[name] = make
 
 
-def backend(name: str) -> Backend:
+def maker(name: str) -> Callable[[], Backend]:
+    """What makes a backend; plans carry it to the workers, which don't know what the driver has registered."""
     if name not in _BACKENDS:
         raise NotImplementedError(f"no backend named {name}; registered: {sorted(_BACKENDS)}")
-    return _BACKENDS[name]()
+    return _BACKENDS[name]
+
+
+def backend(name: str) -> Backend:
+    return maker(name)()
 
 
 def _projection(dim: int, seed: int, side: int = 32) -> Callable[[], Backend]:
@@ -49,21 +54,32 @@ register("projection768", _projection(768, 1))
 register("projection64", _projection(64, 2))
 
 
+def _size(net: Backend) -> int:
+    """The length of a backend's vectors, from a gray image of a size that networks expect."""
+    for side in (224, 32, 16):
+        try:
+            return len(net(np.full((1, side, side, 3), 128.0))[0])
+        except ValueError:
+            continue
+    return 0
+
+
 def vectors(images: DataFrame, name: str = "projection768", batch: int = 32) -> DataFrame:
     """(img_id, vector) for images(img_id, h, w, channels, data); an image that the backend refuses gives zeros."""
+    make = maker(name)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        net = backend(name)
+        net = make()
+        dim = _size(net)
         for b in batches:
             for at in range(0, b.num_rows, batch):
                 part = b.slice(at, batch)
-                out, dim = [], 0
+                out = []
                 for h, w, c, data in zip(*(part.column(i) for i in range(1, 5))):
                     a = np.asarray(data.values, float).reshape(h.as_py(), w.as_py(), c.as_py())
                     a = a if a.shape[-1] == 3 else np.repeat(a[..., :1], 3, -1)
                     try:
                         v = net(a[None])[0]
-                        dim = len(v)
                     except ValueError:
                         v = None
                     out.append(v)

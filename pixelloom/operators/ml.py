@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import time
 from dataclasses import dataclass, field
 from functools import reduce
 
@@ -34,13 +35,15 @@ def scaled(df: DataFrame, scale: dict[str, tuple[float, float]]) -> DataFrame:
 
 
 def split(df: DataFrame, label: str, key: str, test_size: float, seed: int) -> DataFrame:
-    """df with `train`: false for test_size of each label, chosen by a seeded hash of the key."""
-    at = F.xxhash64(F.lit(seed), F.col(key)).cast("double") / 2.0**64 + 0.5
-    return df.withColumn("train", at >= test_size)
+    """df with `train`: false for test_size of each label's rows, the first of a seeded shuffle."""
+    at = S.stratified(df, label, key, seed)
+    return at.withColumn("train", F.col("turn") >= F.round(F.col("size") * F.lit(float(test_size)))).drop("turn", "size")
 
 
-def folded(df: DataFrame, key: str, folds: int, seed: int) -> DataFrame:
-    return df.withColumn("fold", F.pmod(F.xxhash64(F.lit(seed), F.col(key)), F.lit(folds)).cast("int"))
+def folded(df: DataFrame, label: str, key: str, folds: int, seed: int) -> DataFrame:
+    """df with `fold`, dealt out in a seeded shuffle of each label, so that folds have equal shares of it."""
+    at = S.stratified(df, label, key, seed)
+    return at.withColumn("fold", F.pmod("turn", F.lit(folds)).cast("int")).drop("turn", "size")
 
 
 def pca_by_variance(train: DataFrame, features: list[str], variance: float = 0.95) -> tuple[PipelineModel, np.ndarray]:
@@ -64,9 +67,11 @@ def class_weight(df: DataFrame, label: str) -> Column:
     return F.when(F.col(label) == 1, F.lit(r["a"] / r["b"] if r["a"] and r["b"] else 1.0)).otherwise(F.lit(1.0))
 
 
-def boosted(options: Options, features: str = "x", label: str = "label", weight: str | None = None, rounds: int | None = None) -> GBTClassifier:
-    """Boosted trees; rows whose `held` is true stop them early if there is such a column."""
+def boosted(options: Options, features: str = "x", label: str = "label", weight: str | None = None, rounds: int | None = None, held: str | None = None) -> GBTClassifier:
+    """Boosted trees; if held names a column, rows where it is true only stop them, as soon as a tree no longer lowers their error."""
     g = GBTClassifier(featuresCol=features, labelCol=label, maxDepth=options.max_depth, stepSize=options.learning_rate, subsamplingRate=options.subsample, featureSubsetStrategy=str(options.colsample), maxIter=rounds or options.rounds, seed=options.seed)
+    if held:
+        g = g.setValidationIndicatorCol(held).setParams(validationTol=0.0)
     return g.setWeightCol(weight) if weight else g
 
 
@@ -83,27 +88,36 @@ def fourier_features(df: DataFrame, column: str, dim: int, gamma: float, out: st
     return df.withColumn(out, array_to_vector(lift(vector_to_array(F.col(column)))))
 
 
-def svm(train: DataFrame, dim: int, options: Options, label: str = "label"):
+def svm(train: DataFrame, dim: int, options: Options, label: str = "label", key: str = "img_id"):
     """An RBF support vector machine by random features, with its margin calibrated by a logistic curve; returns score(df, name)."""
     gamma = 1.0 / max(1, dim)
-    mapped = fourier_features(train, "x", dim, gamma, "rff")
-    margin = LinearSVC(featuresCol="rff", labelCol=label, regParam=1.0 / (options.svm_c * 100), maxIter=50).fit(mapped)
-    raw = lambda df: margin.transform(fourier_features(df, "x", dim, gamma, "rff")).withColumn("margin", F.get(vector_to_array("rawPrediction"), F.lit(1))).drop("rff", "rawPrediction", "prediction")
-    return _calibrated(raw, train, label)
 
+    def fit(rows: DataFrame):
+        margin = LinearSVC(featuresCol="rff", labelCol=label, regParam=1.0 / (options.svm_c * 100), maxIter=50).fit(fourier_features(rows, "x", dim, gamma, "rff"))
+        return lambda df: margin.transform(fourier_features(df, "x", dim, gamma, "rff")).withColumn("margin", F.get(vector_to_array("rawPrediction"), F.lit(1))).drop("rff", "rawPrediction", "prediction")
 
-def network(train: DataFrame, dim: int, options: Options, label: str = "label"):
+    return _calibrated(fit, train, label, key, options)
+
+
+def network(train: DataFrame, dim: int, options: Options, label: str = "label", key: str = "img_id"):
     """One hidden layer, calibrated; returns score(df, name)."""
-    net = MultilayerPerceptronClassifier(featuresCol="x", labelCol=label, layers=[dim, options.hidden, 2], maxIter=60, seed=options.seed or 1).fit(train)
     logit = lambda p: F.log(F.greatest(p, F.lit(1e-9)) / F.greatest(1 - p, F.lit(1e-9)))
-    raw = lambda df: net.transform(df).withColumn("margin", logit(F.get(vector_to_array("probability"), F.lit(1)))).drop("rawPrediction", "probability", "prediction")
-    return _calibrated(raw, train, label)
 
+    def fit(rows: DataFrame):
+        net = MultilayerPerceptronClassifier(featuresCol="x", labelCol=label, layers=[dim, options.hidden, 2], maxIter=60, seed=options.seed or 1).fit(rows)
+        return lambda df: net.transform(df).withColumn("margin", logit(F.get(vector_to_array("probability"), F.lit(1)))).drop("rawPrediction", "probability", "prediction")
+
+    return _calibrated(fit, train, label, key, options)
 
-def _calibrated(raw, train: DataFrame, label: str):
+
+def _calibrated(fit, train: DataFrame, label: str, key: str, options: Options):
+    """score(df, name) of a model fitted on all of train; its logistic curve is fitted on margins of models that haven't seen the rows."""
+    n = max(2, options.calibration_folds)
+    rows = folded(train, label, key, n, options.seed + 1).withColumnRenamed("fold", "inner").select(key, label, "x", "inner")
+    unseen = reduce(DataFrame.unionByName, [fit(rows.where(F.col("inner") != k))(rows.where(F.col("inner") == k)) for k in range(n)])
     one = VectorAssembler(inputCols=["margin"], outputCol="m")
-    curve = LogisticRegression(featuresCol="m", labelCol=label, maxIter=50).fit(one.transform(raw(train)))
-    a, b = float(curve.coefficients[0]), float(curve.intercept)
+    curve = LogisticRegression(featuresCol="m", labelCol=label, maxIter=50).fit(one.transform(unseen))
+    a, b, raw = float(curve.coefficients[0]), float(curve.intercept), fit(train)
     return lambda df, name: raw(df).withColumn(name, 1 / (1 + F.exp(-(F.col("margin") * a + b)))).drop("margin")
 
 
@@ -151,27 +165,57 @@ def load(path: str) -> Trained:
 
 
 def train(df: DataFrame, features: list[str], options: Options, label: str = "label", key: str = "img_id", rounds: int | None = None) -> Trained:
-    """Split, centre, project, boost, evaluate: the whole trainer."""
-    parted = split(clean(df, features), label, key, options.test_size, options.seed).cache()
+    """Split, centre, project, boost, evaluate: the whole trainer.
+
+    Unless options.early_stopping is 0, a tenth of the training rows stops the boosting; the test rows only evaluate.
+    """
+    began = time.time()
+    parted = split(clean(df, features), label, key, options.test_size, options.seed)
+    parted = S.stratified(parted, "train", key, options.seed + 1).withColumn("held", F.col("train") & (F.col("turn") < F.floor(F.col("size") / 10)) & F.lit(options.early_stopping > 0)).drop("turn", "size").cache()
     fit = parted.where("train")
     centre = centred(fit, features)
     projection, share = pca_by_variance(scaled(fit, centre), features, options.variance)
-    x = projection.transform(scaled(fit, centre)).withColumn("weight", class_weight(fit, label))
-    model = boosted(options, label=label, weight="weight", rounds=rounds).fit(x)
+    weight = class_weight(fit, label)
+    x = projection.transform(scaled(fit, centre)).withColumn("weight", weight)
+    model = boosted(options, label=label, weight="weight", rounds=rounds, held="held" if options.early_stopping else None).fit(x)
     out = Trained(features, centre, projection, model, [float(s) for s in share])
     test = out.score(parted.where(~F.col("train")), "p")
-    counts = parted.agg(F.count_if(F.col(label) == 0).alias("a"), F.count_if(F.col(label) == 1).alias("b")).first()
-    f1 = S.prf(test, label, "origin")
-    whole = f1.agg(F.avg("f1").alias("macro"), (F.sum(F.col("f1") * F.col("support")) / F.sum("support")).alias("weighted"), (F.sum(F.col("recall") * F.col("support")) / F.sum("support")).alias("accuracy")).first()
-    auc = S.roc_auc(test, [], label, "p").first()
-    out.metrics = {"accuracy": whole["accuracy"], "f1_macro": whole["macro"], "f1_weighted": whole["weighted"], "roc_auc": auc["auc"], "n_components": len(share), "explained_variance": float(sum(share)), "n_genuine": counts["a"], "n_synthetic": counts["b"], "imbalance_ratio": counts["a"] / counts["b"] if counts["b"] else 0.0, "n_trees": model.getNumTrees}
+    out.metrics = report(test, label, "p") | _shape(parted, label, features, share) | {"best_iter": model.getNumTrees, "seed": options.seed, "time_elapsed": time.time() - began, "timestamp": began}
+    counts = fit.groupBy(label).count().collect()
+    n = {r[label]: r["count"] for r in counts}
+    out.metrics["scale_pos_weight"] = n.get(0, 0) / n[1] if n.get(1) else 1.0
     parted.unpersist()
     return out
 
 
+def report(scored: DataFrame, label: str, score: str) -> dict[str, float]:
+    """Accuracy, F1, AUC and log-loss of scored rows (label, score, origin)."""
+    f1 = S.prf(scored, label, "origin")
+    p = F.least(F.greatest(F.col(score), F.lit(1e-15)), F.lit(1 - 1e-15))
+    whole = f1.agg(F.avg("f1").alias("f1_macro"), (F.sum(F.col("f1") * F.col("support")) / F.sum("support")).alias("f1_weighted"), (F.sum(F.col("recall") * F.col("support")) / F.sum("support")).alias("accuracy")).first().asDict()
+    loss = scored.agg(F.avg(-F.when(F.col(label) == 1, F.log(p)).otherwise(F.log(1 - p))).alias("loss")).first()["loss"]
+    return whole | {"roc_auc": S.roc_auc(scored, [], label, score).first()["auc"], "best_score": loss}
+
+
+def _shape(rows: DataFrame, label: str, features: list[str], share: np.ndarray) -> dict[str, float]:
+    n = {r[label]: r["count"] for r in rows.groupBy(label).count().collect()}
+    a, b = n.get(0, 0), n.get(1, 0)
+    whole = {"n_genuine": a, "n_synthetic": b, "pct_genuine": 100 * a / max(1, a + b), "pct_synthetic": 100 * b / max(1, a + b), "imbalance_ratio": a / b if b else 0.0, "labels_shape": a + b, "feature_rows": a + b, "feature_columns": len(features)}
+    return whole | {"original_dim": len(features), "pca_dim": len(share), "n_components": len(share), "explained_variance": float(sum(share))} | {f"cumulative_{i + 1}": float(v) for i, v in enumerate(np.cumsum(share))}
+
+
+def final_model(df: DataFrame, features: list[str], options: Options, label: str = "label", rounds: int = 100) -> Trained:
+    """Trees on all rows with standardised features, without a split, a projection or a stop: the model to keep once folds have judged it."""
+    rows = clean(df, features)
+    scale = standardise(rows, features)
+    projection = Pipeline(stages=[VectorAssembler(inputCols=features, outputCol="x")]).fit(rows)
+    model = boosted(options, label=label, rounds=rounds).fit(projection.transform(scaled(rows, scale)))
+    return Trained(features, scale, projection, model, [])
+
+
 def cross_validate(df: DataFrame, features: list[str], options: Options, label: str = "label", key: str = "img_id", rounds: int = 20) -> DataFrame:
     """Out-of-fold probabilities of three models and their mean vote: key, fold, label, p_svm, p_mlp, p_gbt, p_ens, pred (-1: abstains)."""
-    rows = folded(clean(df, features), key, options.folds, options.seed).cache()
+    rows = folded(clean(df, features), label, key, options.folds, options.seed).cache()
     scale = standardise(rows, features)
     table = VectorAssembler(inputCols=features, outputCol="x").transform(scaled(rows, scale)).select(key, label, "fold", "x").cache()
     parts = []
@@ -179,8 +223,8 @@ def cross_validate(df: DataFrame, features: list[str], options: Options, label:
         fit, held = table.where(F.col("fold") != k), table.where(F.col("fold") == k)
         gbt = boosted(options, label=label, rounds=rounds).fit(fit)
         out = gbt.transform(held).withColumn("p_gbt", F.get(vector_to_array("probability"), F.lit(1))).drop("rawPrediction", "probability", "prediction")
-        out = svm(fit, len(features), options, label)(out, "p_svm")
-        out = network(fit, len(features), options, label)(out, "p_mlp")
+        out = svm(fit, len(features), options, label, key)(out, "p_svm")
+        out = network(fit, len(features), options, label, key)(out, "p_mlp")
         parts.append(out)
     every = reduce(DataFrame.unionByName, parts)
     p = (F.col("p_svm") + F.col("p_mlp") + F.col("p_gbt")) / 3
@@ -196,4 +240,4 @@ def importances(model: GBTClassifier, names: list[str], n: int = 20) -> list[tup
     return [(names[i] if i < len(names) else f"f{i}", float(v[i])) for i in order]
 
 
-__all__ = ["Trained", "boosted", "class_weight", "clean", "cross_validate", "folded", "importances", "load", "logistic", "network", "pca_by_variance", "scaled", "split", "standardise", "svm", "train"]
+__all__ = ["Trained", "boosted", "class_weight", "clean", "cross_validate", "final_model", "folded", "importances", "load", "logistic", "network", "pca_by_variance", "report", "scaled", "split", "standardise", "svm", "train"]

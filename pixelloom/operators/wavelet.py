@@ -39,6 +39,30 @@ def select(patches: np.ndarray, top_k: int) -> tuple[int, float, list[int]]:
     return order[0], mags[order[0]], order[1:] or order[:1]
 
 
+def crop_select(image: np.ndarray, size: int = 512, top_k: int = 5, radius: int = 50) -> tuple[np.ndarray, list[int]]:
+    """The top_k tiles whose spectrum departs most and then the top_k whose departs least, and their numbers in row order.
+
+    Tiles cover the image, padded with zeros below and to the right. A tile's
+    departure is the distance of its mean Fourier magnitude within the radius
+    around the centre from that outside; ties go to the first tile.
+    """
+    h, w, c = image.shape
+    rows, cols = -(-h // size), -(-w // size)
+    wide = np.zeros((rows * size, cols * size, c))
+    wide[:h, :w] = image
+    tiles = wide.reshape(rows, size, cols, size, c).swapaxes(1, 2).reshape(rows * cols, size, size, c)
+    y, x = np.ogrid[:size, :size]
+    near = (y - size // 2) ** 2 + (x - size // 2) ** 2 <= radius**2
+    gaps = []
+    for tile in tiles:
+        m = np.abs(np.fft.fftshift(np.fft.fft2(K.gray709(tile))))
+        gaps.append(abs(m[near].mean() - (m[~near].mean() if not near.all() else 0.0)))
+    order = sorted(range(len(gaps)), key=lambda i: (-gaps[i], i))
+    least = sorted(range(len(gaps)), key=lambda i: (gaps[i], i))
+    chosen = order[:top_k] + least[:top_k]
+    return tiles[chosen], chosen
+
+
 def soften(a: np.ndarray, alpha: float = 0.5, levels: int = 2) -> np.ndarray:
     """a less alpha times its high frequencies, which Haar levels take to be all but the means of 2**levels blocks."""
     s = 2**levels
@@ -91,9 +115,10 @@ def row(image: np.ndarray, net: learned.Backend, dim_patch: int = 256, dim_facto
 
 def analyse(images: DataFrame, backend: str = "projection64", **options) -> DataFrame:
     """The wavelet row of each of images(img_id, h, w, channels, data)."""
+    make = learned.maker(backend)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        net = learned.backend(backend)
+        net = make()
         for b in batches:
             rows = []
             for i, h, w, c, data in zip(*b.columns):

@@ -156,3 +156,122 @@ def test_unified_and_pairs(spark):
     out = extractor.unified(df, ["VIT", "vae"]).collect()
     assert len(out) == 2 and set(out[0].asDict()) == {"img_id", "vae_mean", "vae_std", "vit_mean", "vit_std"}
     assert extractor.unified(df, []).columns == ["img_id"]
+
+
+def test_training_is_stratified_and_stops(spark):
+    n = 400
+    df = spark.createDataFrame([(i, int(i % 8 == 0), float(RNG.normal()), float(RNG.normal())) for i in range(n)], "img_id long, label int, a double, b double")
+    parted = ml.split(df, "label", "img_id", 0.2, 3).groupBy("label").agg(F.count_if(~F.col("train")).alias("test"), F.count(F.lit(1)).alias("n")).collect()
+    assert {(r.label, r.test, r.n) for r in parted} == {(0, 70, 350), (1, 10, 50)}
+    per = ml.folded(df, "label", "img_id", 5, 3).groupBy("fold", "label").count().collect()
+    assert {(r.label, r["count"]) for r in per} == {(0, 70), (1, 10)} and len(per) == 10
+    # On noise more trees only add error, so held rows stop them early; without them all rounds run.
+    stopped, whole = (ml.train(df, ["a", "b"], tables.Options(max_depth=3, early_stopping=e), rounds=25).metrics for e in (10, 0))
+    assert stopped["best_iter"] < 25 and whole["best_iter"] == 25
+    assert set(stopped) >= set("accuracy best_iter best_score cumulative_1 explained_variance f1_macro f1_weighted feature_rows feature_columns n_genuine n_synthetic pct_genuine pct_synthetic imbalance_ratio labels_shape n_components original_dim pca_dim roc_auc scale_pos_weight seed time_elapsed timestamp".split())
+    assert stopped["scale_pos_weight"] == 7 and stopped["imbalance_ratio"] == 7
+
+
+def test_calibration_uses_unseen_margins(spark):
+    """Labels are noise: a curve fitted on the margins of the training rows would be sure of them, one of unseen rows isn't."""
+    rows = [(i, int(RNG.integers(0, 2)), *map(float, RNG.normal(0, 1, 12))) for i in range(160)]
+    names = [f"f{i}" for i in range(12)]
+    df = spark.createDataFrame(rows, "img_id long, label int, " + ", ".join(f"{c} double" for c in names))
+    out = ml.cross_validate(df, names, tables.Options(folds=2, hidden=6, calibration_folds=3, max_depth=2), rounds=3).collect()
+    assert len(out) == 160 and {r.img_id for r in out} == set(range(160))
+    assert np.mean([abs(r.p_svm - 0.5) for r in out]) < 0.25 and np.mean([abs(r.p_mlp - 0.5) for r in out]) < 0.25
+    assert all(abs(r.p_ens - (r.p_svm + r.p_mlp + r.p_gbt) / 3) < 1e-12 for r in out)
+
+
+def test_final_model_reads_all_rows(spark):
+    df = spark.createDataFrame([(i, i % 2, float(i % 2) + 0.1 * float(RNG.normal())) for i in range(80)], "img_id long, label int, a double")
+    model = ml.final_model(df, ["a"], tables.Options(max_depth=2), rounds=3)
+    assert all(r.origin == r.label for r in model.score(df).collect()) and model.model.getNumTrees == 3
+
+
+def test_percentiles_equal_numpy(spark):
+
+    values = {0: RNG.normal(0, 5, 301), 1: np.r_[np.zeros(50), 1e9], 2: np.array([3.0]), None: np.array([1.0, 2.0])}
+    df = spark.createDataFrame([(g, float(v)) for g, vs in values.items() for v in vs] + [(0, None)], "g int, v double").repartition(3)
+    shares = {"a": 0.0, "b": 0.33, "c": 0.5, "d": 0.951, "e": 1.0}
+    for r in S.percentiles(df, ["g"], "v", shares).collect():
+        assert r.n == len(values[r.g]) and np.allclose([r[k] for k in shares], np.quantile(values[r.g], list(shares.values())), rtol=1e-12)
+    whole = S.percentiles(df, [], "v", shares).first()
+    assert np.allclose([whole[k] for k in shares], np.quantile(np.concatenate(list(values.values())), list(shares.values())))
+
+
+def test_auc_over_all_rows(spark):
+
+    y, p = RNG.integers(0, 2, 500), np.round(RNG.random(500), 2)
+    df = spark.createDataFrame([(int(a), float(b)) for a, b in zip(y, p)], "y int, p double")
+    pos, neg = p[y == 1], p[y == 0]
+    want = np.mean([(a > b) + 0.5 * (a == b) for a in pos for b in neg])
+    assert abs(S.roc_auc(df, [], "y", "p").first()["auc"] - want) < 1e-12
+
+
+def test_refused_images_give_zeros_of_the_right_length(spark):
+    def make():
+        def net(x):
+            if x.shape[1] < 16:
+                raise ValueError("too small")
+            return x.mean((1, 2))
+
+        return net
+
+    learned.register("picky", make)
+    df = images.from_rows(spark, [{"image": np.full((8, 8), 9)}, {"image": np.full((16, 16), 9)}]).repartition(2)
+    assert sorted(r.vector for r in learned.vectors(df, "picky").collect()) == [[0.0] * 3, [9.0] * 3]
+
+
+def test_residual_subset():
+    g = RNG.random((40, 40)) * 255
+    every, some = features.residual_pairs(g), features.residual_pairs(g, only=("sobel", "spectral"))
+    assert set(some) == {"image_mean_ff", "image_std", "sobel_mean", "sobel_tc", "spectral_tc"} and all(every[k] == v for k, v in some.items())
+    with pytest.raises(ValueError):
+        features.residual_pairs(g, only=("fourier",))
+
+
+def test_crop_select():
+    flat, busy = np.full((64, 64, 3), 100.0), RNG.random((64, 64, 3)) * 255
+    image = np.concatenate([np.concatenate([flat, busy], 1), np.concatenate([flat[:30], flat[:30]], 1)], 0)
+    tiles, at = wavelet.crop_select(image, 64, 1, 5)
+    assert tiles.shape == (2, 64, 64, 3) and len(at) == 2 and len(set(at)) == 2
+    gaps = []
+    for k in range(4):
+        t = np.zeros((64, 64, 3))
+        part = image[k // 2 * 64 : k // 2 * 64 + 64, k % 2 * 64 : k % 2 * 64 + 64]
+        t[: part.shape[0]] = part
+        m = np.abs(np.fft.fftshift(np.fft.fft2(t @ np.array([0.2126, 0.7152, 0.0722]))))
+        near = np.hypot(*np.mgrid[-32:32, -32:32]) <= 5
+        gaps.append(abs(m[near].mean() - m[~near].mean()))
+    assert at == [int(np.argmax(gaps)), int(np.argmin(gaps))]
+
+
+def test_combinations_run(spark, tmp_path):
+    from pixelloom.operators import extractor
+
+    df = images.from_rows(spark, [{"image": RNG.integers(0, 256, (12, 12, 3))} for _ in range(2)])
+    out = extractor.run_combinations(df, str(tmp_path), ["vae", "vit", "residual"])
+    assert out["summary"]["total_single_modules"] == 3 and out["summary"]["total_module_pairs"] == 3
+    assert out["summary"]["pair_feature_counts"]["vae+vit"] == 4 and all(t.count() == 2 for t in out["module_pairs"].values())
+    assert sorted(extractor.combinations(df, ["vae", "vit"])) == ["vae", "vae+vit", "vit"]
+
+
+def test_public_names_and_verbs(spark, tmp_path):
+    import pixelloom
+    from pixelloom import __main__ as cli
+    from pixelloom.sources.images import to_png
+
+    assert all(getattr(pixelloom, name) is not None for name in pixelloom.__all__)
+    with pytest.raises(AttributeError):
+        pixelloom.nothing
+    folder = tmp_path / "img"
+    folder.mkdir()
+    for i in range(2):
+        (folder / f"{i}.png").write_bytes(to_png(RNG.integers(0, 256, (20, 20, 3)).astype(np.uint8)))
+    assert cli.main(["extract", str(folder), str(tmp_path / "f"), "--families", "surface", "--label", "1"]) == 0
+    assert spark.read.parquet(str(tmp_path / "f")).count() == 2
+    spark.createDataFrame([(i, i % 2, i % 2 + 0.01 * i) for i in range(60)], "img_id long, label int, a double").write.parquet(str(tmp_path / "t"))
+    assert cli.main(["train", str(tmp_path / "t"), str(tmp_path / "m"), "--rounds", "2"]) == 0
+    assert cli.main(["infer", str(tmp_path / "t"), str(tmp_path / "m"), str(tmp_path / "o")]) == 0
+    assert spark.read.parquet(str(tmp_path / "o")).where("origin = label").count() >= 55
