@@ -41,7 +41,7 @@ from .tokens import tokenizer
 TOKENIZER = "word_bpe_49k.json"
 MAX_TOKENS = 2048
 #: Texts are encoded side by side in slices of about this many bytes; a longer text is a slice of its own.
-_SLICE_BYTES = 8 << 20
+_SLICE_BYTES = 4 << 20
 _PIECE = "row long, id long, piece int, start long, length long, ids_crc32 long, task int, turn long"
 
 
@@ -85,6 +85,8 @@ def pieces(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", row_
                 sums = [crc32(last, crc32(raw[4 * x : 4 * y])) if z else crc32(raw[4 * x : 4 * y]) for x, y, z in zip(a.tolist(), b.tolist(), ends.tolist())]
                 turn = _turns(length, turns)
                 rows = pa.array(doc)
+                del ids, raw
+                pa.default_memory_pool().release_unused()  # several workers share an executor's memory
                 yield pa.RecordBatch.from_arrays([part.column(0).take(rows), part.column(1).take(rows), pa.array(piece, pa.int32()), pa.array(start), pa.array(length), pa.array(sums, pa.int64()), pa.array(np.full(len(doc), task), pa.int32()), pa.array(turn)], names=names)
 
     names = [p.split()[0] for p in _PIECE.split(", ")]

@@ -160,7 +160,7 @@ class _Store:
 class WordTokenizer:
     """encode(texts): the ids of all texts in a row, without special tokens, and where each text's ids begin and end."""
 
-    def __init__(self, path: str, most_kept: int = 300_000):
+    def __init__(self, path: str, most_kept: int = 100_000):
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
