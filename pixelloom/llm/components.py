@@ -17,7 +17,8 @@ def components(links: DataFrame) -> DataFrame:
     Nothing but counts reaches the driver; what a round makes is written to the
     shared folder, so lineage stays short. A node with very many links is
     aggregated before the shuffle, and its joins are left to AQE's splitting.
-    Loops are ignored; an empty table gives an empty result.
+    Loops, links with a null end and repeated links are ignored; other columns
+    are, too; an empty table gives an empty result.
     """
     spark = links.sparkSession
     edges, old = C.cut(links.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "links")

@@ -80,3 +80,9 @@ def test_long_chain(spark):
 
 def test_empty_table(no_docs):
     assert simhash.classes(no_docs).count() == 0
+
+
+def test_odd_links(spark):
+    links = spark.createDataFrame([(1, 2), (2, 1), (1, 2), (3, 3), (None, 4), (5, None), (None, None)], "a long, b long").selectExpr("*", "9 AS node", "8 AS root")
+    assert sorted((r.node, r.root) for r in components(links).collect()) == [(1, 1), (2, 1)]
+    assert components(links.limit(0)).count() == 0
