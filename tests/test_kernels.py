@@ -145,3 +145,20 @@ def test_wavelet_parts():
         W.sim_extrema(np.ones((2, 4)), np.ones((1, 4)))
     with pytest.raises(RuntimeError):
         W.select(np.zeros((0, 8, 8, 3)), 2)
+
+
+def test_gabor_is_the_plain_correlation(monkeypatch):
+    """Energies equal sums over the whole kernel at each pixel, without a transform of spectra, also where a plane is smaller than the kernel."""
+    rng = np.random.default_rng(1)
+    for shape in ((40, 70), (9, 12), (1, 5)):
+        a = rng.random(shape)
+        for f, t in ((0.1, 0.0), (0.2, np.pi / 4), (0.3, np.pi / 2), (0.2, 3 * np.pi / 4), (0.4, 1.0)):
+            s = np.sqrt(np.log(2) / 2) * 3 / f / np.pi
+            r = int(np.ceil(max(3 * s * abs(np.cos(t)), 3 * s * abs(np.sin(t)), 1)))
+            y, x = np.mgrid[-r : r + 1, -r : r + 1]
+            k = np.exp(-0.5 * (x * x + y * y) / s**2 + 2j * np.pi * f * (x * np.cos(t) + y * np.sin(t))) / (2 * np.pi * s * s)
+            seen = np.lib.stride_tricks.sliding_window_view(np.pad(a, r, mode="symmetric"), k.shape)
+            want = np.abs(np.einsum("ijkl,kl->ij", seen, k)).mean()
+            monkeypatch.setattr(np.fft, "fft2", None)
+            assert abs(K.gabor_energies(a, (f,), (t,))[0] - want) < 1e-10 * want
+            monkeypatch.undo()
