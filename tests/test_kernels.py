@@ -162,3 +162,14 @@ def test_gabor_is_the_plain_correlation(monkeypatch):
             monkeypatch.setattr(np.fft, "fft2", None)
             assert abs(K.gabor_energies(a, (f,), (t,))[0] - want) < 1e-10 * want
             monkeypatch.undo()
+
+
+def test_gray_images_take_each_plane_once(monkeypatch):
+    """A gray image's surface features equal those of the same image in three colours, from one resize."""
+    rng = np.random.default_rng(2)
+    gray = np.floor(rng.random((8, 8, 1)) * 255)
+    want = X.surface(X.Planes(np.repeat(gray, 3, -1), 64))
+    calls, resize = [], K.resize
+    monkeypatch.setattr(K, "resize", lambda *a: calls.append(1) or resize(*a))
+    got = X.surface(X.Planes(gray, 64))
+    assert len(calls) == 1 and all(abs(got[k] - want[k]) < 1e-12 * max(1, abs(want[k])) for k in want)
