@@ -127,3 +127,11 @@ def test_all_folds_in_few_jobs(spark):
     got = out.collect()
     assert jobs < 400
     assert sorted(r.img_id for r in got) == list(range(240)) and np.mean([(r.p_ens > 0.5) == r.label for r in got]) > 0.7
+
+
+def test_many_small_partitions_are_few_tasks(spark, made):
+    df, _ = made
+    many = df.repartition(60)
+    assert folds.fewer(many, df.count()).rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
+    assert folds.fewer(many, 20 * folds.TASK + 1).rdd.getNumPartitions() == 21
+    assert sorted(r.img_id for r in folds.fewer(many, 600).collect()) == list(range(600))
